@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, pieces, topk_search, toxicity
 from .common import table
 
 _BY_ID = "crc32(cast(doc_id as string))"
@@ -20,6 +20,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    rows = table(spark, sf_dir, "embeddings").filter(whole).select("vec_id", F.expr("transform(embedding, x -> floor(256 * cast(x as double)))").alias("v"), F.expr("vec_id % 50 = 0").alias("asks"))
+    got = topk_search.search(rows, "vec_id", "v", "asks", k=5)
+    return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.expr(f"coalesce({_BY_ID} % 4 = 2, false)")
@@ -32,5 +43,20 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)
+), r as (
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_topk_search": _OP7_SQL}
