@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pieces, topk_search, toxicity
+from . import language_id, pieces, substring_dedup, topk_search, toxicity
 from .common import table
 
 _BY_ID = "crc32(cast(doc_id as string))"
@@ -27,6 +27,11 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,5 +63,29 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+_OP8_SQL = """
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50
+), h as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from s
+), m as (
+  select h, min(doc_id) as least from h group by h
+), late as (
+  select h.doc_id, h.i from h join m using (h) where m.least < h.doc_id
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from late
+), words as (
+  select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from d
+), kept as (
+  select a.doc_id, string_agg(a.x, ' ' order by a.p) as kept, count(*) as n from words a left join gone g on a.doc_id = g.doc_id and a.p = g.p
+  where g.p is null group by a.doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join kept k using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": _OP7_SQL}
+    return {"op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
