@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pieces, substring_dedup, topk_search, toxicity
+from . import language_id, ngram_join, pieces, substring_dedup, topk_search, toxicity
 from .common import table
 
 _BY_ID = "crc32(cast(doc_id as string))"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ngram_join.link(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+    return got.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.expr(f"coalesce({_BY_ID} % 3 = 1, false)")
@@ -48,6 +53,25 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_OP1_SQL = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, g from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from d)
+), n as (
+  select d.doc_id, count(s.g) as n from d left join s using (doc_id) group by d.doc_id
+), links as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce((select min(b) from reach where reach.a = n.doc_id), n.doc_id)) as component_id,
+  (select count(*) from links where links.a = n.doc_id)::bigint as n_links
+from n
+"""
 _OP7_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -88,4 +112,4 @@ from d left join kept k using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
+    return {"op1_ngram_join": _OP1_SQL, "op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
