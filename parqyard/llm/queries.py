@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, pieces, substring_dedup, topk_search, toxicity
-from .common import table
+from . import language_id, ngram_join, order_minhash, pieces, substring_dedup, topk_search, toxicity
+from .common import table, write_table
+from .neighbours import neighbours, release
 
 _BY_ID = "crc32(cast(doc_id as string))"
 
@@ -25,6 +26,32 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated ids: the next document is the one of that id with the greatest text; a null id comes last."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keys = docs.groupBy("k").agg(F.max(F.length("text")).alias("n"))
+    ends = keys.agg(F.min(F.struct("k", "n")).alias("low")).first()
+    near = neighbours(keys, ["k"], ["k", "n"])
+    low = ends["low"] or {"k": 0, "n": 0}
+    # downwards by id: the next of a row is the one before it, and the one after it takes its first code points
+    taker = F.coalesce("after", F.struct(F.lit(low["k"]).alias("k"), F.lit(low["n"]).alias("n")))
+    chain = write_table(near.select("k", taker.alias("taker")), "chain")
+    release(near)
+    # fingerprinted before the exchange by k, which both uses below share
+    docs = order_minhash.fingerprint(docs, {"text": "fp"})
+    given = docs.join(chain, "k").select(F.col("taker.k").alias("to"), F.struct(F.expr("substring(text, 1, cast(floor(taker.n / 3) as int))").alias("start"), F.col("fp").alias("next_fp"), "doc_id").alias("given"))
+    given = given.groupBy("to").agg(F.max("given").alias("given"))
+    rows = docs.join(given, F.col("k") == F.col("to"), "left")
+    n = F.length("text")
+    cut = F.expr("cast(floor(length(text) / 3) as int)")
+    rows = rows.select("doc_id", "fp", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("given.start", F.lit(1), cut)).alias("edited"), F.col("given.next_fp").alias("next_fp"))
+    rows = order_minhash.fingerprint(rows, {"edited": "edited_fp"})
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), order_minhash.as_text(F.col("fp")).alias("fingerprint"), order_minhash.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), order_minhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     rows = table(spark, sf_dir, "embeddings").filter(whole).select("vec_id", F.expr("transform(embedding, x -> floor(256 * cast(x as double)))").alias("v"), F.expr("vec_id % 50 = 0").alias("asks"))
