@@ -2,8 +2,9 @@
 
 Merges come from an agenda ordered by score, then position. Each candidate that comes up is skipped for good when a
 keyed hash of (seed, variant, word, position, merged piece) falls below `dropout`; with dropout 0 the result is the
-model's own segmentation. A document's variant is a keyed hash of its id, so copies of one text are segmented in up to
-`variants` ways. Characters that the vocabulary lacks, and the literal U+2581, become byte pieces, so decoding returns
+model's own segmentation. Each occurrence of a word takes one of `variants` such segmentations by a keyed hash of the
+document's id and the occurrence's number, so copies of a text, and repeats within it, are segmented differently.
+Characters that the vocabulary lacks, and the literal U+2581, become byte pieces, so decoding returns
 the text exactly.
 
 Edge cases: a null text has null ids and n_tokens 0, an empty one an empty list. A null key counts as the text "null".
@@ -21,10 +22,11 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_batches, mix
 
 SPACE = "▁"
-_NEVER = float("inf")
+_NEVER = 1 << 40
+_LOW = (1 << 32) - 1
 _CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -35,7 +37,7 @@ def default_model() -> str:
 
 
 class Pieces:
-    def __init__(self, model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4, cache: int = 500_000):
+    def __init__(self, model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2, cache: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model or default_model())
@@ -53,16 +55,17 @@ class Pieces:
             else:
                 self.ids[p] = i
                 self.out.append(p.replace(SPACE, " ").encode())
-        self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
-        self.cached: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.held = 0
+        self.rank = {p: int(-sp.get_score(i)) for p, i in self.ids.items()}
+        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]  # two generations: words in use survive
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
-    def variant(self, key: object) -> int:
-        return xxhash.xxh3_64_intdigest(str("null" if key is None else key).encode(), self.seed) % self.variants
+    def key(self, doc: object) -> int:
+        """What the occurrences in one document draw their variants from."""
+        return xxhash.xxh3_64_intdigest(str("null" if doc is None else doc).encode(), self.seed)
 
     def segment(self, word: str, variant: int) -> bytes:
         """Ids (two bytes each) of one chunk between spaces."""
-        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1000003 + variant) if self.dropout else 0
+        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1000003 + variant) & _LOW if self.dropout else 0
         ids, byte, out = self.ids, self.byte, []
         for p in self._short(word, key) if len(word) <= 24 else self._long(word, key):
             i = ids.get(p)
@@ -82,7 +85,7 @@ class Pieces:
             if r == _NEVER:
                 break
             i = agenda.index(r)
-            if drop and (((key ^ (start[i] * 0x9E3779B97F4A7C15 + int(r))) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 40) < drop:
+            if drop and (((key ^ start[i] * 0x2C1B3C6D + r * 0x297A2D39) & _LOW) * 0x1B873593 >> 16 & 0xFFFFFF) < drop:
                 agenda[i] = _NEVER
                 continue
             s[i] += s.pop(i + 1)
@@ -104,7 +107,7 @@ class Pieces:
             r, i, j, p = heapq.heappop(agenda)
             if s[i] is None or s[j] is None or nxt[i] != j or len(s[i]) + len(s[j]) != len(p):
                 continue
-            if drop and (((key ^ (i * 0x9E3779B97F4A7C15 + int(r))) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 40) < drop:
+            if drop and (((key ^ i * 0x2C1B3C6D + r * 0x297A2D39) & _LOW) * 0x1B873593 >> 16 & 0xFFFFFF) < drop:
                 continue
             s[i], s[j] = p, None
             k = nxt[i] = nxt[j]
@@ -117,31 +120,33 @@ class Pieces:
                 heapq.heappush(agenda, (r2, h, i, p2))
         return [p for p in s if p is not None]
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Piece ids of the whole text."""
         if not text:
             return np.zeros(0, np.uint16)
         if SPACE in text:  # literal marks are encoded as bytes, each as a chunk of its own
             mark = np.array([self.byte[b] for b in SPACE.encode()], np.uint16).tobytes()
             parts = text.split(SPACE)
-            return np.frombuffer(mark.join(self._encode((" " if i == 0 else "") + p, variant) for i, p in enumerate(parts)), np.uint16)
-        return np.frombuffer(self._encode(" " + text, variant), np.uint16)
-
-    def _encode(self, text: str, variant: int) -> bytes:
-        memo, out = self.cached[variant], []
-        for w in _CHUNK.findall(text.replace(" ", SPACE)):
-            got = memo.get(w)
-            if got is None:
-                got = self.segment(w, variant)
-                if len(w) <= 64:
-                    if self.held >= self.limit:
-                        for m in self.cached:
-                            m.clear()
-                        self.held = 0
-                    memo[w] = got
-                    self.held += 1
-            out.append(got)
-        return b"".join(out)
+            return np.frombuffer(mark.join(self._encode((" " if i == 0 else "") + p, key + i) for i, p in enumerate(parts)), np.uint16)
+        return np.frombuffer(self._encode(" " + text, key), np.uint16)
+
+    def _encode(self, text: str, key: int) -> bytes:
+        words = _CHUNK.findall(text.replace(" ", SPACE))
+        if self.variants == 1 or not self.dropout:
+            return b"".join([self.young[0].get(w) or self._missed(w, 0) for w in words])
+        young = self.young
+        draw = (mix(np.arange(len(words), dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)) % np.uint64(self.variants)
+        return b"".join([young[v].get(w) or self._missed(w, v) for w, v in zip(words, draw.tolist())])
+
+    def _missed(self, word: str, variant: int) -> bytes:
+        got = self.old[variant].get(word) or self.segment(word, variant)
+        if len(word) <= 64:
+            young = self.young[variant]
+            if len(young) >= self.limit:
+                self.old[variant] = dict(young)
+                young.clear()
+            young[word] = got
+        return got
 
     def decode(self, ids) -> str:
         """The text that encode() was given."""
@@ -154,7 +159,7 @@ def _pieces(model: str | None, dropout: float, seed: int, variants: int) -> Piec
     return Pieces(model, dropout, seed, variants)
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2) -> DataFrame:
     """docs without the text, with token_ids, n_tokens and lossless (whether decoding gave the text back)."""
     keep = [c for c in docs.columns if c != text]
 
@@ -162,7 +167,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
         p = _pieces(model, dropout, seed, variants)
         ids, same = [], []
         for k, t in zip(batch[key], batch[text]):
-            ids.append(None if t is None else p.encode(t, p.variant(k)))
+            ids.append(None if t is None else p.encode(t, p.key(k)))
             same.append(t is None or p.decode(ids[-1]) == t)
         return {c: batch[c] for c in keep} | {"token_ids": ids, "n_tokens": [0 if x is None else len(x) for x in ids], "lossless": same}
 
