@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, order_minhash, pieces, substring_dedup, topk_search, toxicity
+from . import chat_windows, language_id, ngram_join, order_minhash, pieces, substring_dedup, topk_search, toxicity
 from .common import table, write_table
 from .neighbours import neighbours, release
 
@@ -17,6 +17,22 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select -1L as conv_id, t.* from values (0L, 'user', '{said}'), (1L, 'assistant', '{said}') as t(turn, role, text)")
+    formatted = write_table(chat_windows.windows(turns.unionByName(more)), "windows")
+    read = chat_windows.turns_of(formatted)
+    part = F.struct("window", "place", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("x"))
+    whole = read.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), ""), 256).alias("turns_sha256"))
+    loss = F.transform("loss_spans", lambda s: chat_windows.unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    masked = formatted.select("conv_id", "window", F.length("formatted").alias("size"), F.array_join(loss, "").alias("loss"))
+    said_all = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "loss"))), lambda p: p["loss"]), "")
+    masked = masked.groupBy("conv_id").agg(said_all.alias("loss"), F.sum("size").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    masked = masked.select(F.col("conv_id").alias("c"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+    return whole.join(masked, whole["conv_id"].eqNullSafe(masked["c"])).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.expr(f"coalesce({_BY_ID} % 3 = 1, false)")
