@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, language_id, ngram_join, order_minhash, pieces, substring_dedup, topk_search, toxicity
+from . import chat_windows, language_id, ngram_join, order_minhash, page_text, pieces, substring_dedup, topk_search, toxicity
 from .common import table, write_table
 from .neighbours import neighbours, release
 
@@ -42,6 +42,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = page_text.extract(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated ids: the next document is the one of that id with the greatest text; a null id comes last."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
