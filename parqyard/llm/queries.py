@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, language_id, ngram_join, order_minhash, page_text, pieces, substring_dedup, topk_search, toxicity
+from . import chat_windows, language_id, mixing, ngram_join, order_minhash, page_text, pieces, substring_dedup, topk_search, toxicity
 from .common import table, write_table
 from .neighbours import neighbours, release
 
@@ -42,6 +42,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: documents have no topic column: its stand-in is a bucket of the first word, a coarse class that content alone decides
+TOPIC = r"concat('topic', pmod(cast(conv(substring(md5(regexp_extract(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)), 1, 8), 16, 10) as bigint), 6))"
+#: soften the large sources and languages, level the topics
+TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    got = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS)
+    return got.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+
+
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = page_text.extract(table(spark, sf_dir, "pages"))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -120,6 +132,37 @@ select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce((select min
   (select count(*) from links where links.a = n.doc_id)::bigint as n_links
 from n
 """
+
+
+def _op4_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
+    """The raking of mixing.rake as a chain of common table expressions."""
+    ctes = [
+        r"""d as (select doc_id, source, lang, 'topic' || (('0x' || substr(md5(regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1, 8))::bigint % 6) as topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)""",
+        "c0 as (select source, lang, topic, sum(n_tokens)::bigint as tokens, sum(n_tokens)::double as weight from d group by all)",
+    ]
+    for name, power in TARGETS.items():
+        ctes.append(f"t_{name} as (select {name} as v, case when sum(tokens) > 0 then pow(sum(tokens)::double, {power}) else 0 end as t from c0 group by 1)")
+    at = 0
+    for _ in range(rounds):
+        for name in TARGETS:
+            ctes.append(
+                f"c{at + 1} as (select source, lang, topic, tokens, case when sum(weight) over (partition by {name}) > 0 then weight * (t / (select sum(t) from t_{name})) / sum(weight) over (partition by {name}) else 0 end as weight "
+                f"from c{at} join t_{name} on {name} is not distinct from v)"
+            )
+            at += 1
+    ctes.append(f"w as (select source, lang, topic, tokens, case when sum(weight) over () > 0 then weight / sum(weight) over () else 0 end as weight from c{at})")
+    ctes.append("r as (select *, case when tokens > 0 then weight / tokens else 0 end as ratio from w)")
+    ctes.append("p0 as (select *, case when tokens > 0 then coalesce(ratio / nullif(max(ratio) over (), 0), 0) else 1 end as p from r)")
+    for k in range(steps):
+        ctes.append(f"q{k} as (select *, coalesce(sum(tokens) filter (where p >= 1) over (), 0) as held, coalesce(sum(tokens * p) filter (where p < 1) over (), 0) as rest, sum(tokens) over () as total from p{k})")
+        ctes.append(f"p{k + 1} as (select source, lang, topic, tokens, weight, ratio, least(1.0, p * greatest(1.0, case when rest > 0 then (total * {keep} - held) / rest else 1 end)) as p from q{k})")
+    return "with " + ",\n".join(ctes) + f"""
+select doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 6) as weight, round(p, 6) as probability,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double / 281474976710656 < p as selected
+from d join p{steps} c on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic is not distinct from c.topic"""
+
+
 _OP7_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -160,4 +203,4 @@ from d left join kept k using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1_SQL, "op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
+    return {"op1_ngram_join": _OP1_SQL, "op4_mixing": _op4_sql(), "op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
