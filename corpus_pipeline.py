@@ -1,4 +1,68 @@
-STAGES = []
+"""A corpus pipeline over the documents table: toxicity, near duplicates, repeated passages, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; it is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of docs. Null texts and keys, empty tables and extra
+columns are handled as the operators' modules say.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parqyard.llm import mixing, ngram_join, pieces, substring_dedup, toxicity
+from parqyard.llm.common import scratch_root, table
+from parqyard.llm.queries import TARGETS, TOPIC
+
+TOXIC_FROM = 0.7
+KEEP_TOKENS = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a classifier fitted on the labelled ones scores 0.7 or more."""
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, out="_toxic", keep_text=True)
+    return scored.filter(F.col("_toxic") < TOXIC_FROM).drop("_toxic")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of five-word shingles (Jaccard 0.8 or more) connect, the one of smallest id."""
+    linked = ngram_join.link(docs, n=5, num=4, den=5)
+    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct()
+    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(kept, F.col("_rid") == F.col("rid"), "left_semi").drop("_rid")
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the passages of 50 words or more that a document of smaller id has; documents left empty go."""
+    got = substring_dedup.dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    rest = got.filter((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return rest.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of about 70 % of the tokens, by probabilities raked to source, language and topic targets."""
+    got = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS, keep=KEEP_TOKENS)
+    return got.filter("selected").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, by merge-dropout, instead of the text."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", one_of_each_group), ("substring_dedup", drop_passages), ("mixing", mix), ("sentencepiece", encode)]
+#: A classifier and a tokenizer are beyond SQL: the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the shared scratch folder and read again."""
+    docs, root = table(spark, sf_dir, "documents"), f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
