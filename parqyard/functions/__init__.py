@@ -1 +1 @@
-"""parqyard."""
+"""Decoding, statistics and formatting."""

@@ -1 +1 @@
-"""parqyard."""
+"""Filters and tables."""

@@ -1 +1 @@
-"""parqyard."""
+"""Reports and the query catalogue."""

@@ -1 +1 @@
-"""parqyard."""
+"""Reading, footers and writing."""

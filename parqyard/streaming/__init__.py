@@ -1 +1 @@
-"""parqyard."""
+"""Filters over streams."""
