@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,7 +164,7 @@ def physical(inferred: T.StructType, leaves: list[Leaf], name: str = "schema") -
             elif leaf.unsigned:
                 bits = 32 if leaf.kind == P.INT32 else 64
                 wide = col.cast("decimal(20,0)")
-                kind, value = P.SPARK[leaf.kind], F.when(wide >= 1 << bits - 1, wide - (1 << bits)).otherwise(wide).cast(P.SPARK[leaf.kind])
+                kind, value = P.SPARK[leaf.kind], F.when(wide >= F.lit(Decimal(1 << bits - 1)), wide - F.lit(Decimal(1 << bits))).otherwise(wide).cast(P.SPARK[leaf.kind])
             else:
                 kind, value = t, col
             columns.append(value.alias(label))
