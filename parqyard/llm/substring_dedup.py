@@ -199,10 +199,12 @@ class FingerprintIndex:
 
         single = map_batches(occ.filter("hot").select("anchor", "rid", "ord", "new", "first", "hashes"), spread, "anchor long, rid long, ord long, new boolean, h long, first int")
         least = single.groupBy("anchor", "h").agg(F.min("ord").alias("least"))
+        least = write_table(least, "least")  # a table on either side of the join: Spark can split a hot window
         late = single.filter("new").join(least, ["anchor", "h"]).filter("least < ord").select("rid", "first", F.lit(1).cast("long").alias("marks"))
         spans = marked.unionByName(late).groupBy("rid").agg(F.collect_list(F.struct("first", "marks")).alias("spans"))
         spans = write_table(spans, "spans")
         drop_table(occ)
+        drop_table(least)
         self.compact()
         return spans
 
