@@ -2,8 +2,8 @@
 
 The tokens of each cell (source, language, topic) are raked: weights are scaled to each target marginal in turn,
 `rounds` times over. A cell's weight over its tokens, divided by the largest such ratio, is the probability with which
-each of its documents is kept, so expected tokens have the raked mixture; `keep` raises all probabilities by one factor,
-found by fixed-point steps with those at 1 held, until the expected share of tokens is reached. A document is kept when
+each of its documents is kept, so expected tokens have the raked mixture; one factor for all probabilities, found by
+fixed-point steps with those at 1 held, then brings the expected share of tokens to `keep`. A document is kept when
 its keyed hash, a number in [0, 1) from its id alone, is below the probability.
 
 Targets are (tokens of the value) ** power, normalised: power 1 keeps a marginal, 0 makes it uniform. Explicit weights
@@ -61,6 +61,9 @@ def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, k
     c = c.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
     c = c.withColumn("_all", F.sum("tokens").over(whole)).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     c = c.withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce(F.col("_ratio") / F.max("_ratio").over(whole), F.lit(0.0))).otherwise(1.0))
+    has = F.col("tokens") > 0
+    gives = F.sum(F.col("tokens") * F.col("probability")).over(whole)
+    c = c.withColumn("probability", F.when(has & (gives > 0), F.least(F.lit(1.0), F.col("probability") * (F.col("_all") * keep / gives))).otherwise(F.col("probability")))
     for _ in range(steps):  # raise what is below 1 until the tokens suffice; what reaches 1 stays
         full = F.col("probability") >= 1
         held = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(whole)
@@ -77,6 +80,8 @@ def mix(docs: DataFrame, marginals: dict[str, Column], targets: dict[str, float
     rows = plain.withColumns({f"_m_{n}": c for n, c in marginals.items()} | {"n_tokens": words(F.col(text))})
     cells = rows.groupBy(*[F.col(f"_m_{n}").alias(n) for n in names]).agg(F.sum("n_tokens").alias("tokens"))
     cells = write_table(rake(write_table(cells, "cells"), targets, rounds, keep), "raked")
-    out = rows.join(cells.withColumnsRenamed({n: f"_c_{n}" for n in names}), [F.col(f"_m_{n}").eqNullSafe(F.col(f"_c_{n}")) for n in names])
+    cells = cells.select(*[F.col(n).alias(f"_c_{n}") for n in names], F.col("weight").alias("_c_weight"), F.col("probability").alias("_c_probability"))
+    out = rows.join(cells, [F.col(f"_m_{n}").eqNullSafe(F.col(f"_c_{n}")) for n in names])
     new = [F.col(f"_m_{n}").alias(n) for n in names if n not in plain.columns]
-    return out.select(*[F.col(c) for c in plain.columns], *new, "n_tokens", "weight", "probability", (draw(F.col(key), seed) < F.col("probability")).alias("selected"))
+    chosen = draw(F.col(key), seed) < F.col("_c_probability")
+    return out.select(*[F.col(c) for c in plain.columns], *new, "n_tokens", F.col("_c_weight").alias("weight"), F.col("_c_probability").alias("probability"), chosen.alias("selected"))

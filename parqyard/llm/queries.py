@@ -153,7 +153,9 @@ def _op4_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
             at += 1
     ctes.append(f"w as (select source, lang, topic, tokens, case when sum(weight) over () > 0 then weight / sum(weight) over () else 0 end as weight from c{at})")
     ctes.append("r as (select *, case when tokens > 0 then weight / tokens else 0 end as ratio from w)")
-    ctes.append("p0 as (select *, case when tokens > 0 then coalesce(ratio / nullif(max(ratio) over (), 0), 0) else 1 end as p from r)")
+    ctes.append("first_p as (select *, case when tokens > 0 then coalesce(ratio / nullif(max(ratio) over (), 0), 0) else 1 end as p from r)")
+    ctes.append("g as (select *, sum(tokens * p) over () as gives, sum(tokens) over () as total from first_p)")
+    ctes.append(f"p0 as (select source, lang, topic, tokens, weight, ratio, case when tokens > 0 and gives > 0 then least(1.0, p * (total * {keep} / gives)) else p end as p from g)")
     for k in range(steps):
         ctes.append(f"q{k} as (select *, coalesce(sum(tokens) filter (where p >= 1) over (), 0) as held, coalesce(sum(tokens * p) filter (where p < 1) over (), 0) as rest, sum(tokens) over () as total from p{k})")
         ctes.append(f"p{k + 1} as (select source, lang, topic, tokens, weight, ratio, least(1.0, p * greatest(1.0, case when rest > 0 then (total * {keep} - held) / rest else 1 end)) as p from q{k})")
