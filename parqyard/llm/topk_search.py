@@ -7,7 +7,8 @@ shards by an equi-join on the shard's number, never broadcast.
 
 Edge cases: rows with a null id, and vectors that are null, empty or hold nulls, take no part. Ties go to the smaller
 id. Rows that share a query's id count as the query itself. Vectors of another length than the query's are no
-candidates. Fewer candidates than k: all are returned. An empty table gives no rows; extra columns are ignored.
+candidates. Fewer candidates than k: all are returned. Scores beyond a long's range count as its
+ends. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 from .common import write_table
 
 LEAF = 128
+_LEAST = -(1 << 63)
 
 
 @dataclass
@@ -96,7 +98,9 @@ class Tree:
                 if seen is not None:
                     seen.append(b - a)
                 score, ids = own[a:b] @ asked[i], self.ids[a:b]
-                may = np.nonzero((score >= kth[0] if kth is not None else np.ones(len(ids), bool)) & (ids != qid))[0]
+                if not exact:
+                    score = np.array([max(_LEAST, min(-_LEAST - 1, int(x))) for x in score], object)
+                may = np.nonzero(((score >= kth[0]).astype(bool) if kth is not None else np.ones(len(ids), bool)) & (ids != qid))[0]
                 if len(may) > 4 * k:  # the best k of a leaf are enough
                     may = may[np.lexsort((ids[may], -score[may]))[:k]]
                 for j in may:
@@ -131,7 +135,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: str, k: int =
             part = np.nonzero(dims == d)[0]
             own, x = ids[part], np.stack([vs[i] for i in part])
             for kind in (np.int16, np.int32):
-                if np.abs(x).max() <= np.iinfo(kind).max:
+                if np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
                     x = x.astype(kind)
                     break
             tree, asks = Tree.build(own, x), np.nonzero(qs[part])[0]
