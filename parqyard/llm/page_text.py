@@ -40,6 +40,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+#: Bits of the alignment that are held at once; beyond, pages are halved.
+HELD = 1 << 28
+
+
 def _furniture(name: str, attributes: str) -> bool:
     if name in _FURNITURE:
         return True
@@ -134,7 +138,7 @@ def _middle(a: list[int], b: list[int]) -> list[int]:
     a, b = [a[i] for i in keep], [x for x in b if x in both]
     if not a or not b:
         return []
-    if len(a) * len(b) > 1 << 28:  # too many bits to hold: cut a in half, b where both halves do best
+    if len(a) * len(b) > HELD and len(a) > 1:  # too many bits to hold: cut a in half, b where both halves do best
         h = len(a) // 2
         ahead, back = _rows(a[:h], b)[-1], _rows(a[:h - 1 : -1] if h else a[::-1], b[::-1])[-1]
         left = np.concatenate(([0], np.cumsum([not ahead >> j & 1 for j in range(len(b))])))
