@@ -119,6 +119,13 @@ class Table:
         """The first n rows: in the order of the file if it was asked for."""
         return replace(self, df=self._ordered().limit(n))
 
+    def tail(self, n: int) -> Table:
+        """The last n rows in the order of the file, which open() must have been asked for."""
+        by = [F.col(c).desc() for c in source.ORDER if c in self.df.columns]
+        if not by:
+            raise ValueError("open the table with order=True")
+        return replace(self, df=self.df.orderBy(*by).limit(n))
+
     def _ordered(self) -> DataFrame:
         by = [c for c in source.ORDER if c in self.df.columns]
         return self.df.orderBy(*by) if by else self.df

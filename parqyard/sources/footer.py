@@ -1,8 +1,8 @@
-"""Footers as tables: a Python data source over the metadata of Parquet files, and one file's leaves on the driver.
+"""Footers as tables: the metadata of Parquet files, and one file's leaves on the driver.
 
-`spark.read.format("parqyard_footer").option("table", "row_groups").load(path)` and so on; `footer(spark, path, table)`
-registers the source first. Tables: files, row_groups, column_chunks. Files are dealt to tasks, and only footers are
-read.
+`footer(spark, path, table)` gives them; after `register(spark)`, so does `spark.read.format("parqyard_footer")` with the
+options table and files (one path a line). Tables: files, row_groups, column_chunks. Files are dealt to tasks, and only
+footers are read.
 """
 
 from __future__ import annotations
@@ -101,13 +101,13 @@ def _rows(table: str, path: str) -> Iterator[tuple]:
         first += group.num_rows
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """The data files of a file or folder, in order of their names."""
+def list_files(spark: SparkSession, path: str, most: int | None = None) -> list[str]:
+    """The data files of a file or folder in order of their names, or the first `most` that its listing gives."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     found, out = fs.listFiles(p, True), []
-    while found.hasNext():
+    while found.hasNext() and (most is None or len(out) < most):
         at = found.next().getPath()
         if not at.getName().startswith(("_", ".")):
             out.append(at.toString())
@@ -115,14 +115,32 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def footer(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
-    """One of the tables of SCHEMAS for a file or a folder of files."""
+    """One of the tables of SCHEMAS for a file or a folder of files.
+
+    Spark lists the files and deals them to tasks, which read nothing but footers: neither paths nor rows pass the driver.
+    """
     if table not in SCHEMAS:
         raise ValueError(f"no footer table {table!r}")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(spark.createDataFrame([], SCHEMAS[table]).schema)
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                rows = list(_rows(table, file))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInArrow(read, SCHEMAS[table])
+
+
+def register(spark: SparkSession) -> None:
+    """Lets spark.read.format("parqyard_footer") read the same tables of the files listed in its option `files`."""
     spark.dataSource.register(FooterSource)
-    files = list_files(spark, path)
-    if not files:
-        return spark.createDataFrame([], SCHEMAS[table])
-    return spark.read.format("parqyard_footer").option("table", table).option("files", "\n".join(files)).load()
 
 
 def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], set[str]]:

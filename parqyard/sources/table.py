@@ -23,7 +23,7 @@ def read(spark: SparkSession, path: str, view: str = "physical", order: bool = F
     """
     if view not in ("physical", "logical"):
         raise ValueError(f"no view {view!r}")
-    files = list_files(spark, path)
+    files = list_files(spark, path, most=1)
     if not files:
         raise FileNotFoundError(f"no data files at {path}")
     name, found, encodings = leaves(spark, files[0])

@@ -18,7 +18,7 @@ from parqyard.functions import decode, formatting, statistics
 from parqyard.plans import report
 from parqyard.schema import from_leaves, string_map_column
 from parqyard.sources import sink
-from parqyard.sources.footer import footer, list_files
+from parqyard.sources.footer import footer, list_files, register
 from parqyard.sources.table import has_magic, row_group
 from parqyard.streaming.filters import matching, stream
 
@@ -64,6 +64,9 @@ def test_physical_view(spark, kinds):
     assert rows.has_next() and rows.has_next() and next(rows)["id"] == 0 and next(rows)["id"] == 1 and not rows.has_next()
     with pytest.raises(StopIteration):
         next(rows)
+    assert [r["id"] for r in t.tail(2).rows()] == [23, 24]
+    with pytest.raises(ValueError):
+        Table.of(t.df.select("id")).tail(1)
 
 
 def test_logical_view(spark, kinds):
@@ -90,6 +93,9 @@ def test_row_groups_and_footers(spark, kinds):
     assert statistics.file_sizes(spark, kinds).first()["rows"] == 25
     with pytest.raises(ValueError):
         footer(spark, kinds, "pages")
+    register(spark)
+    source = spark.read.format("parqyard_footer").option("table", "row_groups").option("files", kinds).load()
+    assert sorted(map(str, source.drop("file").collect())) == sorted(map(str, footer(spark, kinds, "row_groups").drop("file").collect()))
 
 
 def test_byte_stream_split(spark, tmp_path):
