@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +18,9 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,35 +53,31 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@contextlib.contextmanager
-def conf(spark: SparkSession, **values: str):
-    """Session settings for the time of one block."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts reach Python in batches of 2000 rows, to bound a worker's memory, unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow with columns as Python lists (strings and numbers) on the way in, and lists or arrays on the way out.
+    """mapInArrow with columns as Python lists on the way in, and lists, NumPy or Arrow arrays on the way out.
 
-    Input batches are cut to about a hundred rows or more such that one batch of very long texts stays small.
+    Input batches are cut to pieces of about 4 MB, so that Python's copies of very long texts stay few.
     """
+    small_batches(df.sparkSession)
     names = df.columns
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in df.sparkSession.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 8e6 / max(1, batch.nbytes))))
+            pa.default_memory_pool().release_unused()
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
+                    columns = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type, from_pandas=False) for f in arrow]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -101,7 +102,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word (bytes); forgets all once it holds `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -117,6 +118,38 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_OWNERS: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """Says whose caches a Python worker holds from now on; those of any other operator are forgotten."""
+    global _owner
+    if _owner != owner:
+        for name, clear in _OWNERS.items():
+            if name != owner:
+                clear()
+        _OWNERS[owner], _owner = forget, owner
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_WORDS = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """The one cache of words that all operators in a Python worker share."""
+    claim("words", _WORDS.clear)
+    return _WORDS
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Maximal runs of other characters than space and U+0009 to U+000D: what bytes.split() cuts at."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

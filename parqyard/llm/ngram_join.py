@@ -18,28 +18,21 @@ rows have none. Repeated rows are members of one class. Empty tables give no row
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_table, map_batches, shingles, write_table
+from .common import drop_table, map_batches, shingles, small_batches, trim, word_hashes, write_table
 from .components import components
 
 _CHUNK = 14  # the frequency table travels in pieces of 2**14 counts
 
 
-@lru_cache(1)
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 def ngram_set(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word n-grams, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(shingles(_hashes().of(words), n)) if words else np.zeros(0, np.uint64)
+    return np.unique(shingles(word_hashes().of(words), n)) if words else np.zeros(0, np.uint64)
 
 
 def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -90,12 +83,13 @@ def prefix(grams: np.ndarray, freq: np.ndarray, bits: int, num: int, den: int, m
     return grams[order[: first + best]], best + 1
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, block_rows: int = 128, block_grams: int = 1 << 18) -> DataFrame:
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, rid) for each row: sets link when den * shared >= num * union.
 
     rid is xxhash64(doc_id, text). n_links counts the other rows that the row links with, copies included.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"))
 
     def sign(b: dict) -> dict:
@@ -195,7 +189,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
     info = groups.join(classes.select(F.col("cls").alias("node"), "n"), "node")
     sizes = info.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    sizes = write_table(sizes.select("label", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks")), "blocks")
+    sizes = write_table(sizes.select("label", F.greatest(F.ceil(F.col("rows") / F.least(F.lit(block_most), F.greatest(F.lit(block_rows), F.col("rows") / 12))), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks")), "blocks")
     placed = groups.join(sizes, "label").join(classes.withColumnRenamed("cls", "node"), "node")
     placed = placed.select("rid", F.col("node").alias("cls"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "size")
 
@@ -222,6 +216,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
             yield from _verified(held, num, den)
 
     forest = write_table(dealt.mapInArrow(verify, "a long, b long, links long"), "forest")
+    sent.destroy()
+    del freq
+    trim()
     final = components(forest.select("a", "b"))
     for t in (groups, sizes, sets):
         drop_table(t)
@@ -252,9 +249,10 @@ def _verified(rows: list[tuple], num: int, den: int):
     which, doc = which[keep], doc[keep]
     which = np.searchsorted(np.unique(which), which)
     shared = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, 8192):
-        a, b = np.searchsorted(which, (lo, lo + 8192))
-        part = np.zeros((len(sets), 8192), np.float32)
+    step = max(256, (1 << 22) // len(sets))  # columns at a time: 16 MB
+    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, step):
+        a, b = np.searchsorted(which, (lo, lo + step))
+        part = np.zeros((len(sets), step), np.float32)
         part[doc[a:b], which[a:b] - lo] = 1
         shared += part @ part.T
     both = shared.astype(np.int64)

@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_batches, mix
+from .common import claim, map_batches, mix
 
 SPACE = "▁"
 _NEVER = 1 << 40
@@ -155,10 +155,15 @@ class Pieces:
 
 
 @lru_cache(4)
-def _pieces(model: str | None, dropout: float, seed: int, variants: int) -> Pieces:
+def _loaded(model: str | None, dropout: float, seed: int, variants: int) -> Pieces:
     return Pieces(model, dropout, seed, variants)
 
 
+def _pieces(*settings) -> Pieces:
+    claim("pieces", _loaded.cache_clear)
+    return _loaded(*settings)
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2) -> DataFrame:
     """docs without the text, with token_ids, n_tokens and lossless (whether decoding gave the text back)."""
     keep = [c for c in docs.columns if c != text]

@@ -19,24 +19,17 @@ like those added here (`n_words`, `n_removed`, `kept_text`) are replaced.
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, drop_table, map_batches, mix, scratch_root, write_table
+from .common import ascii_words, drop_table, map_batches, mix, scratch_root, word_hashes, write_table
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PART = 62  # windows in one row: their marks fit in a long
 
 
-@lru_cache(1)
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 class _Powers:
     """Powers of an odd base and of its inverse, modulo 2**64."""
 
@@ -61,7 +54,7 @@ def window_hashes(words: list[bytes], window: int, gram: int) -> tuple[np.ndarra
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = _POWERS.of(n + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_hashes().of(words) * up[:n])))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(word_hashes().of(words) * up[:n])))
     grams = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     whole = mix((total[window:] - total[:-window]) * down[: n - window + 1] + np.uint64(0x632BE59BD9B4E019))
     least, width, want = grams, 1, window - gram + 1

@@ -10,13 +10,14 @@ null key, are not learned from but are scored. Without training rows of both kin
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, write_table
+from .common import drop_table, map_batches, small_batches, trim, write_table
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -55,24 +56,25 @@ class Model:
 
 def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 24_000, features: int = 4096, l2: float = 0.02) -> Model:
     """Fits on at most about `max_rows` labelled rows, chosen by hash of `key`; `rows` has a text and a 0/1 label."""
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
     rows = write_table(rows.select("t", "y").repartition(8), "toxic-rows")  # so that a bounded number of count vectors reach the driver
 
     def count(batches):
         import pyarrow as pa
 
-        n = np.zeros((2, 1 << BITS), np.uint32)
+        n = np.zeros((2, 1 << BITS), np.uint32)  # documents with the n-gram, by label
         docs = [0, 0]
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n[y, np.unique(hashed(t))] += 1
                 docs[y] += 1
-        yield pa.RecordBatch.from_pydict({"neg": [n[0].tobytes()], "pos": [n[1].tobytes()], "a": [docs[0]], "b": [docs[1]]})
+        yield pa.RecordBatch.from_pydict({"neg": [zlib.compress(n[0].tobytes(), 1)], "pos": [zlib.compress(n[1].tobytes(), 1)], "a": [docs[0]], "b": [docs[1]]})
 
     neg, pos, total = np.zeros(1 << BITS), np.zeros(1 << BITS), [0, 0]
-    for r in rows.select("t", "y").mapInArrow(count, "neg binary, pos binary, a long, b long").toLocalIterator():
-        neg += np.frombuffer(r["neg"], np.uint32)
-        pos += np.frombuffer(r["pos"], np.uint32)
+    for r in rows.select("t", "y").mapInArrow(count, "neg binary, pos binary, a long, b long").collect():
+        for into, raw in ((neg, r["neg"]), (pos, r["pos"])):
+            into += np.frombuffer(zlib.decompress(raw), np.uint32)
         total = [total[0] + r["a"], total[1] + r["b"]]
     none = np.full(1 << BITS, -1, np.int32)
     if not min(total):
@@ -96,15 +98,19 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
         return {"y": batch["y"], "x": found}
 
     xs, ys = [], []
-    for r in map_batches(rows, pick, "y int, x binary").toLocalIterator():
+    for r in map_batches(rows, pick, "y int, x binary").collect():
         xs.append(np.frombuffer(r["x"], np.int16))
         ys.append(r["y"])
     drop_table(rows)
+    sent.destroy()
     order = sorted(range(len(xs)), key=lambda i: (ys[i], xs[i].tobytes()))  # the same sums in whatever order rows arrive
     xs, y = [xs[i] for i in order], np.array([ys[i] for i in order], float)
     col = np.concatenate(xs).astype(np.int64)
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    del xs, order
     w, b = fit(row, col, ratio, y, l2)
+    del row, col
+    trim()
     return Model(slot, w * ratio, b)
 
 
