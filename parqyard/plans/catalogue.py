@@ -1,7 +1,7 @@
 """Named queries over the test tables, one for each operator, and the DuckDB SQL that must give the same rows.
 
-Queries return the logical columns of their tables: filters see the raw physical view (as the reference view of
-timestamps is a long), so those on timestamps compare microseconds.
+Queries return the logical columns of their tables: filters see the raw physical view (where a timestamp is
+a long), so those on timestamps compare microseconds.
 """
 
 from __future__ import annotations
