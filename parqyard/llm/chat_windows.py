@@ -41,7 +41,7 @@ def unescape(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """A turn's tokens: its words, and two for its marks."""
-    return F.regexp_count(x, F.lit(r"\S+")) + 2
+    return F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) + 2
 
 
 def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -133,6 +133,35 @@ select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce((select min
 from n
 """
 
+_OP2_SQL = r"""
+with t as (
+  select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), a as (
+  select *, row_number() over (partition by c order by turn nulls first, role, text) as pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as n from t
+), b as (
+  select *, pos = 1 and role = 'system' as is_system from a
+), d as (
+  select *, sum(case when is_system then n else 0 end) over w as sys_n, sum(case when is_system then 0 else n end) over w as through from b window w as (partition by c order by pos)
+), e as (
+  select *, through - case when is_system then 0 else n end as before, greatest(1, floor((512 - sys_n - 96) / 2)) as unit from d
+), f as (
+  select *, floor(before / unit) as k, n > unit and not is_system as big from e
+), g as (
+  select *, coalesce(k <> lag(k) over w or big or lag(big) over w, false) and pos > case when sys_n > 0 then 2 else 1 end as opens from f window w as (partition by c order by pos)
+), h as (
+  select *, sum(opens::int) over (partition by c order by pos) as span from g
+), i as (
+  select *, max(through) over (partition by c, span) as till, max(span) over (partition by c) as final,
+    11 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&vert;')) + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '|', '&vert;')) as size from h
+)
+select c as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+  length(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), ''))::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(size * case when is_system then final + 1 when till - before <= 96 and span < final then 2 else 1 end)::bigint as formatted_chars, (max(final) + 1)::bigint as n_windows
+from i group by c
+"""
+
 
 def _op4_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
     """The raking of mixing.rake as a chain of common table expressions."""
@@ -205,4 +234,4 @@ from d left join kept k using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1_SQL, "op4_mixing": _op4_sql(), "op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
+    return {"op1_ngram_join": _OP1_SQL, "op2_chat_windows": _OP2_SQL, "op4_mixing": _op4_sql(), "op7_topk_search": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
