@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,6 +131,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: str, k: int =
             qs.append(np.array(b.column(2).to_pylist(), bool))
         if not vs:
             return
+        shard = TaskContext.get().partitionId()
         ids, qs, dims = np.concatenate(ids), np.concatenate(qs), np.array([len(v) for v in vs])
         for d in np.unique(dims):
             part = np.nonzero(dims == d)[0]
@@ -141,13 +143,14 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: str, k: int =
             tree, asks = Tree.build(own, x), np.nonzero(qs[part])[0]
             found = tree.search(own[asks], x[asks], k, [None] * len(asks))
             floor = [f[-1] if len(f) == k else None for f in found]
-            yield pa.RecordBatch.from_pydict({"d": pa.array([int(d)], pa.int32()), "tree": [pickle.dumps(tree)], "asks": [pickle.dumps((own[asks], x[asks], floor))]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "d": pa.array([int(d)], pa.int32()), "tree": [pickle.dumps(tree)], "asks": [pickle.dumps((own[asks], x[asks], floor))]})
 
-    packed = rows.repartition(shards, "id").mapInArrow(pack, "d int, tree binary, asks binary").withColumn("shard", F.monotonically_increasing_id())
+    packed = rows.repartition(shards, "id").mapInArrow(pack, "shard int, d int, tree binary, asks binary")
     packed = write_table(packed, "shards")
-    places = packed.select(F.col("shard").alias("to"), F.col("d").alias("of"))
-    blocks = packed.select("d", "asks").join(F.broadcast(places.groupBy("of").agg(F.collect_list("to").alias("to"))), F.col("d") == F.col("of")).select(F.explode("to").alias("shard"), "asks")
-    pairs = blocks.join(packed.select("shard", "tree"), "shard").select("tree", "asks")
+    # a retried or widened shuffle may number shards differently from `shards`, so the table says how many there are
+    top = packed.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0]
+    blocks = packed.select("d", "asks", F.explode(F.sequence(F.lit(0), F.lit(max(top, 0)))).alias("shard"))
+    pairs = blocks.join(packed.select("shard", "d", "tree"), ["shard", "d"]).select("tree", "asks")
 
     def look(batches):
         for b in batches:
