@@ -7,13 +7,14 @@ unit, a span ends where the sum enters the next unit, and a turn larger than a u
 holds the system turn (a leading turn of that role), then the last turns of the span before, up to `history` tokens,
 then its own span. The loss covers the texts of assistant turns of the own span only: repeated targets are masked.
 
-A window is one row: (conv_id, window, n_turns, n_repeated, n_tokens, formatted, loss_spans), where n_repeated leading
-turns are context repeated from before and loss_spans are (start, length) in code points of formatted, from 0. Only a
+A window is one row: (conv_id, window, n_turns, n_repeated, n_tokens, formatted, loss_spans), where window is the place
+(from 1) of its first own turn, n_repeated leading turns are context repeated from before and loss_spans are (start, length) in code points of formatted, from 0. Only a
 turn that alone exceeds the room makes a window exceed the budget.
 
 Edge cases: null texts and roles are empty. Equal turn numbers are ordered by role, then text; null turn numbers come
 first. A null conv_id is a conversation of its own. Repeated rows are turns like others. No rows give no windows; extra
-columns are ignored. A conversation's turns pass through one sorted stream; only a window's are held together.
+columns are ignored. Sums run in ranges of turns, so a conversation of any length is spread over tasks; only the turns of
+a window are held together.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import write_table
+from .neighbours import running
+
 #: What marks a turn: around the role, and behind the text.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 
@@ -48,25 +52,29 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv: str =
     """The windows of all conversations (see above)."""
     kind = turns.schema[conv].dataType
     t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("c").orderBy("turn", "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("at", F.row_number().over(order)).withColumn("n", tokens(F.col("text")))
-    is_system = (F.col("at") == 1) & (F.col("role") == "system")
-    # the leading system turn's tokens are known to every later row of the stream
-    t = t.withColumn("system", is_system).withColumn("sys_n", F.sum(F.when(F.col("system"), F.col("n")).otherwise(0)).over(so_far))
-    t = t.withColumn("own", F.when(F.col("system"), 0).otherwise(F.col("n"))).withColumn("through", F.sum("own").over(so_far))
-    t = t.withColumn("before", F.col("through") - F.col("own"))
+    t = t.withColumn("n", tokens(F.col("text")))
+    first = t.groupBy("c").agg(F.min(F.struct("turn", "role", "text", "n")).alias("f"), F.count("*").alias("turns"))
+    first = write_table(first.select(F.col("c").alias("fc"), F.when(F.col("f.role") == "system", F.col("f.n")).otherwise(0).alias("sys_n"), "turns"), "first")
     unit = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("sys_n") - history) / 2))
-    t = t.withColumn("unit", F.floor(F.col("before") / unit)).withColumn("big", (F.col("n") > unit) & ~F.col("system"))
-    opens = F.coalesce((F.col("unit") != F.lag("unit").over(order)) | F.col("big") | F.lag("big").over(order), F.lit(False)) & (F.col("at") > F.when(F.col("sys_n") > 0, 2).otherwise(1))
-    t = t.withColumn("span", F.sum(opens.cast("int")).over(so_far))
-    t = t.withColumn("text", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE), escape(F.col("text")), F.lit(END))).withColumn("head", F.length(escape(F.col("role"))) + 4)
-    span = Window.partitionBy("c", "span")
-    t = t.withColumn("end", F.max("through").over(span)).withColumn("last", F.max("span").over(Window.partitionBy("c").orderBy(F.lit(1)).rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    repeats = (F.col("end") - F.col("before") <= history) & (F.col("span") < F.col("last")) & ~F.col("system")
-    use = F.when(F.col("system"), F.sequence(F.lit(0), F.col("last"))).when(repeats, F.array("span", F.col("span") + 1)).otherwise(F.array("span"))
-    t = t.select("c", "at", "role", "text", "head", "n", "system", F.col("span").alias("home"), F.explode(use).alias("window"))
-    t = t.withColumn("repeated", F.col("window") != F.col("home"))
+    t = t.join(first, F.col("c").eqNullSafe(F.col("fc"))).withColumn("unit", unit).withColumn("big", F.col("n") > F.col("unit"))
+    t = running(t.drop("fc"), "c", ["turn", "role", "text"], {"at": F.lit(1), "through": F.col("n"), "bigs": F.col("big").cast("int")})
+    t = t.withColumn("before", F.col("through") - F.col("n") - F.col("sys_n")).withColumn("unit", F.floor(F.col("before") / F.col("unit")))
+    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
+    t = t.withColumn("head", F.length(head)).withColumn("text", F.concat(head, escape(F.col("text")), F.lit(END)))
+    t = write_table(t.withColumn("system", (F.col("at") == 1) & (F.col("sys_n") > 0)), "turns")
+    # a span: turns of one unit between two turns that are larger than a unit, or such a turn
+    key = ["c", "unit", "bigs", "big"]
+    own = t.filter("not system")
+    spans = own.groupBy(*key).agg(F.min("at").alias("window"), F.max("at").alias("last"), F.max(F.col("through") - F.col("sys_n")).alias("end"))
+    spans = write_table(spans.select(*[F.col(k).alias(f"s_{k}") for k in key], "window", "last", "end"), "spans")
+    columns = ["c", "at", "role", "text", "head", "n"]
+    placed = own.join(spans, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in key])
+    repeats = (F.col("end") - F.col("before") <= history) & (F.col("last") < F.col("turns"))
+    here = F.struct("window", F.lit(False).alias("repeated"))
+    use = F.when(repeats, F.array(here, F.struct((F.col("last") + 1).alias("window"), F.lit(True).alias("repeated")))).otherwise(F.array(here))
+    t_own = placed.select(*columns, F.inline(use))
+    t_system = t.filter("system").join(spans, F.col("c").eqNullSafe(F.col("s_c")), "left").select(*columns, F.coalesce("window", F.lit(1)).alias("window"), F.coalesce(F.col("window") > 2, F.lit(False)).alias("repeated"))
+    t = t_own.unionByName(t_system)
     inside = Window.partitionBy("c", "window").orderBy("at")
     size = F.length("text")
     start = F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

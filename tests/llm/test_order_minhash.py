@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from parqyard.llm import order_minhash, queries
-from parqyard.llm.neighbours import neighbours
+from parqyard.llm.neighbours import neighbours, running
 
 
 def fingerprints(spark, texts, **kw):
@@ -63,6 +63,17 @@ def test_neighbours(spark):
     assert got == {x: (x - 1 if x else None, x + 1 if x < 999 else None) for x in range(1000)}
 
 
+def test_running_sums(spark):
+    """Sums within keys, of which one holds most rows and spans several ranges."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 9 == 0, F.col("id") % 20).alias("k"), F.col("id").alias("x"), F.lit(5).alias("v"))
+    got = running(rows.repartition(6), "k", ["x"], {"at": F.lit(1), "total": F.col("v") + F.col("x")}).collect()
+    at, total = {}, {}
+    for r in sorted(got, key=lambda r: r["x"]):
+        at[r["k"]], total[r["k"]] = at.get(r["k"], 0) + 1, total.get(r["k"], 0) + 5 + r["x"]
+        assert (r["at"], r["total"]) == (at[r["k"]], total[r["k"]])
+    assert len(got) == 3000
+
+
 def test_query_on_odd_rows(spark, tmp_path):
     import hashlib
 
