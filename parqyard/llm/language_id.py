@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, map_batches, write_table
 
+#: Letters that are counted at once.
+STRETCH = 1 << 20
 _PAD = 1  # the code of a word's edge; letters have their code point, all other characters 0
 
 
@@ -43,11 +45,20 @@ def ngram_counts(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
     keep[0] = True
     c = c[keep]
     c[c == 0] = _PAD
-    parts = [c[c != _PAD]]
+    found = [_counts(c[at : at + STRETCH + max_n - 1], min(STRETCH, len(c) - at), max_n) for at in range(0, len(c), STRETCH)]
+    if len(found) == 1:
+        return found[0]
+    codes, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+
+
+def _counts(c: np.ndarray, starts: int, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams that begin at one of the first `starts` places."""
+    parts = [c[:starts][c[:starts] != _PAD]]
     for n in range(2, max_n + 1):
-        if len(c) < n:
+        m = min(starts, len(c) - n + 1)
+        if m < 1:
             break
-        m = len(c) - n + 1
         code = np.zeros(m, np.int64)
         ok = np.ones(m, bool)
         for i in range(n):

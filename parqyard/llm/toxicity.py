@@ -11,6 +11,7 @@ null key, are not learned from but are scored. Without training rows of both kin
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,24 +22,31 @@ from .common import drop_table, map_batches, small_batches, trim, write_table
 
 SIZES = (4, 5, 6)
 BITS = 20
+#: Bytes of a text that are hashed at once.
+STRETCH = 1 << 20
 
 
-def hashed(text: str | None) -> np.ndarray:
-    """The hashed byte n-grams of the padded, lower-cased text, with repeats."""
+def hashed(text: str | None) -> Iterator[np.ndarray]:
+    """The hashed byte n-grams of the padded, lower-cased text, with repeats, a stretch of the text at a time."""
     if not text:
-        return np.zeros(0, np.uint32)
-    b = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
-    b[(b >= 9) & (b <= 13)] = 32
-    out = []
-    h = np.zeros(len(b), np.uint32)
-    for n in range(1, max(SIZES) + 1):
-        if len(b) < n:
-            break
-        h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(n)
-        if n in SIZES:
-            x = h * np.uint32(0x85EBCA6B)
-            out.append((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return
+    whole = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    for at in range(0, len(whole), STRETCH):
+        b = whole[at : at + STRETCH + max(SIZES) - 1].astype(np.uint32)
+        b[(b >= 9) & (b <= 13)] = 32
+        h = np.zeros(len(b), np.uint32)
+        for n in range(1, max(SIZES) + 1):
+            if len(b) < n:
+                break
+            h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(n)
+            if n in SIZES:
+                x = h * np.uint32(0x85EBCA6B)
+                yield (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
+
+
+def distinct(text: str | None) -> np.ndarray:
+    """The different hashes of the text's n-grams."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.unique(x) for x in hashed(text)]]))
 
 
 @dataclass
@@ -48,9 +56,10 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        at = self.slot[hashed(text)]
         seen = np.zeros(len(self.weight), bool)
-        seen[at[at >= 0]] = True
+        for x in hashed(text):
+            at = self.slot[x]
+            seen[at[at >= 0]] = True
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[seen].sum(), -60, 60))))
 
 
@@ -67,7 +76,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
         docs = [0, 0]
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[y, np.unique(hashed(t))] += 1
+                n[y, distinct(t)] += 1
                 docs[y] += 1
         yield pa.RecordBatch.from_pydict({"neg": [zlib.compress(n[0].tobytes(), 1)], "pos": [zlib.compress(n[1].tobytes(), 1)], "a": [docs[0]], "b": [docs[1]]})
 
@@ -93,7 +102,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     def pick(batch: dict) -> dict:
         found = []
         for t in batch["t"]:
-            at = sent.value[hashed(t)]
+            at = sent.value[distinct(t)]
             found.append(np.unique(at[at >= 0]).astype(np.int16).tobytes())
         return {"y": batch["y"], "x": found}
 

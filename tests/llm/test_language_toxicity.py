@@ -82,6 +82,17 @@ def test_toxicity(spark):
     assert toxicity.train(toxicity.labelled(plain, labels.limit(0))).score("x") < 0.01
 
 
+def test_stretches(monkeypatch):
+    """Texts of several stretches have the same n-grams as in one."""
+    text = "The cat, the hät! " * 40 + "x" * 100
+    whole = toxicity.distinct(text), language_id.ngram_counts([text], 3)
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
+    monkeypatch.setattr(language_id, "STRETCH", 37)
+    assert (toxicity.distinct(text) == whole[0]).all()
+    codes, counts = language_id.ngram_counts([text], 3)
+    assert (codes == whole[1][0]).all() and (counts == whole[1][1]).all()
+
+
 def test_fit_finds_the_minimum():
     """The regression's gradient vanishes, by finite differences too."""
     rnd = np.random.default_rng(1)
