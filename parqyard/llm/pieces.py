@@ -19,6 +19,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -26,8 +27,19 @@ from .common import claim, map_batches, mix
 
 SPACE = "▁"
 _NEVER = 1 << 40
-_LOW = (1 << 32) - 1
-_CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_SLOTS = (1 << 20) - 1  # of the table that tells for a hash whether to skip
+def _chunker(pieces) -> re.Pattern:
+    """Cuts where no merge can cross: before the marks of a space, around line ends, and between letters and other
+    characters (those that the vocabulary joins with the other kind count as no letters)."""
+    odd: set[str] = set()
+    letter = lambda c: c not in odd and re.match(r"[^\W\d_]", c) is not None
+    while True:
+        mixed = {a if letter(a) else b for p in pieces for a, b in zip(p, p[1:]) if SPACE not in (a, b) and letter(a) != letter(b)}
+        if not mixed:
+            break
+        odd |= mixed
+    kind = rf"[^\W\d_{re.escape(''.join(sorted(odd)))}]"
+    return re.compile(rf"\n|{SPACE}*(?:{kind}+|(?:(?!{kind})[^{SPACE}\n])+)|{SPACE}+")
 
 
 def default_model() -> str:
@@ -41,7 +53,8 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model or default_model())
-        self.dropout, self.seed, self.variants, self.limit = int(dropout * (1 << 24)), seed, variants, cache
+        self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants, cache
+        self.skips = (mix(np.arange(_SLOTS + 1, dtype=np.uint64) + np.uint64(seed << 20)) >> np.uint64(40) < dropout * (1 << 24)).tobytes()
         self.ids: dict[str, int] = {}
         self.byte = [0] * 256
         self.out: list[bytes] = []
@@ -55,6 +68,9 @@ class Pieces:
             else:
                 self.ids[p] = i
                 self.out.append(p.replace(SPACE, " ").encode())
+        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids):
+            raise ValueError("the model has pieces that reach over spaces or line ends")
+        self.chunks = _chunker(self.ids).findall
         self.rank = {p: int(-sp.get_score(i)) for p, i in self.ids.items()}
         self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]  # two generations: words in use survive
         self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
@@ -65,7 +81,7 @@ class Pieces:
 
     def segment(self, word: str, variant: int) -> bytes:
         """Ids (two bytes each) of one chunk between spaces."""
-        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1000003 + variant) & _LOW if self.dropout else 0
+        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1000003 + variant) & _SLOTS
         ids, byte, out = self.ids, self.byte, []
         for p in self._short(word, key) if len(word) <= 24 else self._long(word, key):
             i = ids.get(p)
@@ -77,7 +93,7 @@ class Pieces:
 
     def _short(self, word: str, key: int) -> list[str]:
         """The agenda as a list of the neighbours' ranks, which is faster than a heap for few characters."""
-        s, get, drop = list(word), self.rank.get, self.dropout
+        s, get, skips = list(word), self.rank.get, self.skips
         agenda = [get(a + b, _NEVER) for a, b in zip(s, s[1:])]
         start = list(range(len(s)))
         while agenda:
@@ -85,7 +101,7 @@ class Pieces:
             if r == _NEVER:
                 break
             i = agenda.index(r)
-            if drop and (((key ^ start[i] * 0x2C1B3C6D + r * 0x297A2D39) & _LOW) * 0x1B873593 >> 16 & 0xFFFFFF) < drop:
+            if skips[(key ^ start[i] * 40503 + r * 30011) & _SLOTS]:
                 agenda[i] = _NEVER
                 continue
             s[i] += s.pop(i + 1)
@@ -99,7 +115,7 @@ class Pieces:
     def _long(self, word: str, key: int) -> list[str]:
         """The agenda as a heap of (rank, position)."""
         s: list[str | None] = list(word)
-        n, rank, drop = len(s), self.rank, self.dropout
+        n, rank, skips = len(s), self.rank, self.skips
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(r, i, i + 1, p) for i in range(n - 1) if (r := rank.get(p := s[i] + s[i + 1])) is not None]
         heapq.heapify(agenda)
@@ -107,7 +123,7 @@ class Pieces:
             r, i, j, p = heapq.heappop(agenda)
             if s[i] is None or s[j] is None or nxt[i] != j or len(s[i]) + len(s[j]) != len(p):
                 continue
-            if drop and (((key ^ i * 0x2C1B3C6D + r * 0x297A2D39) & _LOW) * 0x1B873593 >> 16 & 0xFFFFFF) < drop:
+            if skips[(key ^ i * 40503 + r * 30011) & _SLOTS]:
                 continue
             s[i], s[j] = p, None
             k = nxt[i] = nxt[j]
@@ -131,7 +147,7 @@ class Pieces:
         return np.frombuffer(self._encode(" " + text, key), np.uint16)
 
     def _encode(self, text: str, key: int) -> bytes:
-        words = _CHUNK.findall(text.replace(" ", SPACE))
+        words = self.chunks(text.replace(" ", SPACE))
         if self.variants == 1 or not self.dropout:
             return b"".join([self.young[0].get(w) or self._missed(w, 0) for w in words])
         young = self.young
@@ -164,6 +180,14 @@ def _pieces(*settings) -> Pieces:
     return _loaded(*settings)
 
 
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
+    """The arrays as one Arrow array of lists."""
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids])
+    flat = np.concatenate([np.zeros(0, np.uint16), *[x for x in ids if x is not None]]).astype(np.int32)
+    none = pa.array([x is None for x in ids], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=none)
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2) -> DataFrame:
     """docs without the text, with token_ids, n_tokens and lossless (whether decoding gave the text back)."""
     keep = [c for c in docs.columns if c != text]
@@ -174,7 +198,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
         for k, t in zip(batch[key], batch[text]):
             ids.append(None if t is None else p.encode(t, p.key(k)))
             same.append(t is None or p.decode(ids[-1]) == t)
-        return {c: batch[c] for c in keep} | {"token_ids": ids, "n_tokens": [0 if x is None else len(x) for x in ids], "lossless": same}
+        return {c: batch[c] for c in keep} | {"token_ids": _lists(ids), "n_tokens": [0 if x is None else len(x) for x in ids], "lossless": same}
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return map_batches(docs, run, f"{schema}token_ids array<int>, n_tokens int, lossless boolean")
