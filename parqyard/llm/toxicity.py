@@ -5,7 +5,7 @@ document counts in toxic and other training texts; an L2 logistic regression ove
 
 Edge cases: null and empty texts have no features and get the score of the intercept. Rows without a label, or with a
 null key, are not learned from but are scored. Without training rows of both kinds the score is the share of toxic rows
-(0 if there are none). Repeated rows count each. Extra columns of the input are ignored.
+(0 if there are none). Copies and near copies of a training text count once per label; all rows are scored. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, map_batches, small_batches, trim, write_table
 
-SIZES = (4, 5, 6)
+SIZES = (4, 6, 8)
 BITS = 20
+#: Training texts that must have an n-gram for it to be a feature.
+LEAST = 4
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
 
@@ -63,11 +65,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[seen].sum(), -60, 60))))
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 24_000, features: int = 4096, l2: float = 0.02) -> Model:
+def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 24_000, features: int = 4096, l2: float = 0.01) -> Model:
     """Fits on at most about `max_rows` labelled rows, chosen by hash of `key`; `rows` has a text and a 0/1 label."""
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
-    rows = write_table(rows.select("t", "y").repartition(8), "toxic-rows")  # so that a bounded number of count vectors reach the driver
+
+    def sign(batch: dict) -> dict:
+        return {"t": batch["t"], "y": batch["y"], "sig": [distinct(t)[:6].tobytes() for t in batch["t"]]}
+
+    # texts of one label with the same least hashes are copies, near ones too, and count once: else what two copies
+    # share would look like a sign of their label. Eight parts, so that a bounded number of counts reach the driver.
+    once = map_batches(rows.select("t", "y"), sign, "t string, y int, sig binary").groupBy("sig", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = write_table(once.select("t", "y").coalesce(8), "toxic-rows")
 
     def count(batches):
         import pyarrow as pa
@@ -91,9 +100,9 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
         return Model(none, np.zeros(0), 30.0 if total[1] else -30.0)
     share = (pos + neg) / sum(total)
     z = (pos / total[1] - neg / total[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / total[0] + 1 / total[1]))
-    z[pos + neg < 2] = 0
+    z[pos + neg < LEAST] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-    chosen = chosen[(np.abs(z[chosen]) >= 3) | (np.arange(len(chosen)) < 256)]
+    chosen = chosen[(np.abs(z[chosen]) >= 4) | (np.arange(len(chosen)) < 256)]
     ratio = np.log((pos[chosen] + 1) / (total[1] + 2)) - np.log((neg[chosen] + 1) / (total[0] + 2))
     slot = none.copy()
     slot[chosen] = np.arange(len(chosen))
