@@ -130,9 +130,11 @@ class FingerprintIndex:
         new = self._read([self.runs[-1][1]]).withColumn("new", F.lit(True))
         rows = new.unionByName(self._read(before).withColumn("new", F.lit(False))) if before else new
         shared = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b"), F.max("new").alias("any_new")).filter("any_new and a < b")
-        held = rows.join(shared.select("anchor", (F.col("n") > self.hot).alias("hot")), "anchor").select("rid", "anchor", "hot", "new")
+        shared = write_table(shared.select("anchor", (F.col("n") > self.hot).alias("hot")), "shared")  # a table: Spark can split a hot anchor
+        held = rows.join(shared, "anchor").select("rid", "anchor", "hot", "new")
         wanted = held.groupBy("rid").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"), F.max("new").alias("new"))
         wanted = write_table(wanted, "wanted")
+        drop_table(shared)
         texts = batch.select("rid", "ord", "text")
         if history is not None:
             texts = texts.unionByName(history.select("rid", "ord", "text"))
