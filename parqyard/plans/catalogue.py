@@ -6,11 +6,14 @@ a long), so those on timestamps compare microseconds.
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import decode
 from ..functions.statistics import block_statistics, column_statistics, file_sizes, footer_statistics, row_group_sizes
@@ -18,10 +21,10 @@ from ..operators.predicates import Predicate, all_of, any_of, contains, custom,
 from ..operators.query import Table
 from ..sources import sink
 from ..sources.footer import footer, list_files
-from ..sources.table import read, row_group
+from ..sources.table import has_magic, read, row_group
 from ..streaming.filters import matching
 from ..types import F32, F64, I32, I64, Bool, Str
-from .report import json_rows, profile
+from .report import Inspector, export_json, json_rows, profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -331,6 +334,99 @@ for _codec in sink.CODECS:
     _query(f"write_roundtrip_{_codec.lower()}", "select * from supplier")(_round_trip)
 
 
+@_query("write_row_groups", "select ceil(count(*) / 1000.0)::bigint as groups, count(*) as rows from customer")
+def write_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups of 1000 rows."""
+    path = _scratch(spark)
+    sink.write(spark.read.parquet(f"{sf_dir}/customer.parquet").coalesce(1), path)
+    return footer(spark, path, "row_groups").agg(F.count("*").alias("groups"), F.sum("num_rows").alias("rows"))
+
+
+@_query("write_empty", "select 0::bigint as rows, 0::bigint as groups")
+def write_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without rows: a footer and no row groups."""
+    path = _scratch(spark)
+    sink.write(spark.read.parquet(f"{sf_dir}/region.parquet").limit(0), path)
+    return footer(spark, path, "files").agg(F.sum("num_rows").alias("rows"), F.sum("num_row_groups").cast("long").alias("groups"))
+
+
+@_query("write_conformed", "select s_suppkey::varchar as s_suppkey, s_name, s_acctbal from supplier")
+def write_conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns brought to a schema: its names, order and types; numbers as text where it says so."""
+    path = _scratch(spark)
+    shape = T.StructType([T.StructField("s_suppkey", T.StringType()), T.StructField("s_name", T.StringType(), False), T.StructField("s_acctbal", T.DoubleType())])
+    sink.write(spark.read.parquet(f"{sf_dir}/supplier.parquet"), path, schema=shape)
+    return spark.read.parquet(path)
+
+
+@_query("write_maps", "select p_partkey, p_brand as brand, p_size::varchar as size from part")
+def write_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map columns written, and read back in the physical view."""
+    path = _scratch(spark)
+    sink.write(_maps(spark, sf_dir), path, "GZIP")
+    return Table.open(spark, path).df.select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["size"].alias("size"))
+
+
+@_query("write_rows", "select * from region")
+def write_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written one at a time."""
+    path, table = _scratch(spark), Table.open(spark, f"{sf_dir}/region.parquet")
+    with sink.RowWriter(spark, path, table.df.schema) as to:
+        for row in table.rows():
+            to.add(row.values)
+    return spark.read.parquet(path)
+
+
+@_query("write_encodings_v2", "select * from orders")
+def write_encodings_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 2 pages without dictionaries: delta encodings."""
+    path = _scratch(spark)
+    sink.write(spark.read.parquet(f"{sf_dir}/orders.parquet"), path, "ZSTD", dictionary=False, v2=True)
+    return spark.read.parquet(path)
+
+
+# reports of one file
+@_query("verify_magic", "select true as ok")
+def verify_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = has_magic(spark, list_files(spark, f"{sf_dir}/nation.parquet", most=1)[0])
+    return spark.createDataFrame([(ok,)], "ok boolean")
+
+
+@_query("inspect_file", "select count(*) as total_rows, 3::bigint as physical_columns, 3::bigint as logical_columns from nation")
+def inspect_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = Inspector(spark, f"{sf_dir}/nation.parquet").file_info()
+    return spark.createDataFrame([(info["totalRows"], info["physicalColumns"], info["logicalColumns"])], "total_rows long, physical_columns long, logical_columns long")
+
+
+@_query("inspect_schema", "select * from (values (0::bigint, 'n_nationkey', 'INT32'), (1, 'n_name', 'BYTE_ARRAY'), (2, 'n_regionkey', 'INT32')) as t(index, name, type)")
+def inspect_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Inspector(spark, f"{sf_dir}/nation.parquet").schema_info()["physicalColumns"]
+    return spark.createDataFrame([(c["index"], c["path"], c["physicalType"]) for c in found], "index long, name string, type string")
+
+
+@_query("inspect_sample", "select n_nationkey, n_name from nation order by n_nationkey limit 10")
+def inspect_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows a report shows: ten of the 25."""
+    rows = Inspector(spark, f"{sf_dir}/nation.parquet").sampling()["samples"]
+    return spark.createDataFrame([(r["values"]["n_nationkey"], r["values"]["n_name"]) for r in rows], "n_nationkey int, n_name string")
+
+
+@_query("json_metadata", "select count(*) as n, max(n_name) as top from nation")
+def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row count and a recorded bound, as the JSON export has them."""
+    found = Inspector(spark, f"{sf_dir}/nation.parquet").json_metadata()
+    top = next(c for c in found["columns"] if c["name"] == "n_name")["statistics"]["max"]
+    return spark.createDataFrame([(found["numRows"], top)], "n long, top string")
+
+
+@_query("json_export", "select r_regionkey::bigint as r_regionkey, r_name from region")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's JSON export, parsed again."""
+    out = io.StringIO()
+    export_json(spark, list_files(spark, f"{sf_dir}/region.parquet", most=1)[0], out)
+    return spark.createDataFrame([(r["r_regionkey"], r["r_name"]) for r in json.loads(out.getvalue())["rows"]], "r_regionkey long, r_name string")
+
+
 @_query("json_rows", "select r_regionkey, r_name from region")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON objects, and back."""
