@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import write_table
+from .common import drop_table, write_table
 
 ADDED = ("n_tokens", "weight", "probability", "selected")
 
@@ -53,10 +53,16 @@ def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, k
         # each value's target once, whatever the number of its cells
         c = c.withColumn("_v", value).withColumn("_n", F.count("*").over(by))
         c = c.withColumn(f"_target_{name}", F.col("_v") / F.sum(F.col("_v") / F.col("_n")).over(whole)).drop("_v", "_n")
-    for _ in range(rounds):
+    held = None
+    for k in range(1, rounds + 1):
         for name in targets:
             now = F.sum("weight").over(Window.partitionBy(name))
             c = c.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_target_{name}") / now).otherwise(0.0))
+        if k % 4 == 0 or k == rounds:  # a written table keeps the plan shallow
+            c, old = write_table(c, "raking"), held
+            held = c
+            if old is not None:
+                drop_table(old)
     total = F.sum("weight").over(whole)
     c = c.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
     c = c.withColumn("_all", F.sum("tokens").over(whole)).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
