@@ -83,7 +83,7 @@ def prefix(grams: np.ndarray, freq: np.ndarray, bits: int, num: int, den: int, m
     return grams[order[: first + best]], best + 1
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, hot_gram: int = 1 << 17, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, rid) for each row: sets link when den * shared >= num * union.
 
     rid is xxhash64(doc_id, text). n_links counts the other rows that the row links with, copies included.
@@ -109,23 +109,29 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     def index(b: dict) -> dict:
         import xxhash
 
-        out: dict[str, list] = {"gram": [], "cls": [], "n": [], "matches": []}
+        out: dict[str, list] = {"gram": [], "salt": [], "cls": [], "n": [], "matches": []}
         for t in b["text"]:
             s = ngram_set(t, n)
             if not len(s):
                 continue
             kept, level = prefix(s, sent.value, bits, num, den, most, load)
-            kept = kept[sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)] > 1]  # one holder: nothing to match
+            held = sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)]
+            kept, held = kept[held > 1], held[held > 1].astype(np.int64)  # one holder: nothing to match
+            cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
             out["gram"].append(kept.view(np.int64))
-            out["cls"].append(np.full(len(kept), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), np.int64))
+            out["salt"].append(np.where(held > hot_gram + 4 * load, cls % (1 + held // (hot_gram // 2)), -1))
+            out["cls"].append(np.full(len(kept), cls, np.int64))
             out["n"].append(np.full(len(kept), len(s), np.int32))
             out["matches"].append(np.full(len(kept), level, np.int16))
         return {k: np.concatenate(v) for k, v in out.items()} if out["gram"] else None
 
-    postings = map_batches(rows.select("text"), index, "gram long, cls long, n int, matches short")
+    postings = map_batches(rows.select("text"), index, "gram long, salt long, cls long, n int, matches short")
 
     def candidates(batches):
-        """Along each list in order of size: all pairs of a short one (with L), or stars (with 0) along a long one."""
+        """Along each list in order of size: all pairs of a short one (with L), or stars (with 0) along a long one.
+
+        A list dealt to several tasks becomes a star around a node that stands for the n-gram, whatever the sizes.
+        """
         a: list[int] = []
         b: list[int] = []
         m: list[int] = []
@@ -153,18 +159,23 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
             size = k
 
         for batch in batches:
-            gram, cls, sizes, matches = (batch.column(i).to_numpy() for i in range(4))
+            gram, salt, cls, sizes, matches = (batch.column(i).to_numpy() for i in range(5))
             same = np.zeros(len(gram), bool)
             same[1:] = (gram[1:] == gram[:-1]) & (cls[1:] == cls[:-1])
-            near = np.zeros(len(gram), bool)
-            near[1:] = gram[1:] == gram[:-1]
-            near[:-1] |= near[1:]
+            near = salt >= 0
+            near[1:] |= gram[1:] == gram[:-1]
+            near[:-1] |= gram[1:] == gram[:-1]
             near[:1] = near[-1:] = True
             pick = np.nonzero(near & ~same)[0]
-            for g, c, k, x in zip(gram[pick].tolist(), cls[pick].tolist(), sizes[pick].tolist(), matches[pick].tolist()):
-                if g != at:
+            for g, d, c, k, x in zip(gram[pick].tolist(), salt[pick].tolist(), cls[pick].tolist(), sizes[pick].tolist(), matches[pick].tolist()):
+                if (g, d) != at:
                     close()
-                    at, long, size = g, False, 0
+                    at, long, size = (g, d), False, 0
+                if d >= 0:
+                    a.append(g)
+                    b.append(c)
+                    m.append(0)
+                    continue
                 if run and run[-1][0] == c:
                     continue
                 if long:
@@ -183,8 +194,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int16())], names=["a", "b", "m"])
 
-    found = postings.repartition("gram").sortWithinPartitions("gram", "n", "cls").mapInArrow(candidates, "a long, b long, m short")
-    edges = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
+    found = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "cls").mapInArrow(candidates, "a long, b long, m short")
+    edges = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
     groups = components(edges)
 
     info = groups.join(classes.select(F.col("cls").alias("node"), "n"), "node")

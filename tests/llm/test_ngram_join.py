@@ -49,11 +49,11 @@ def corpus(seed, n_docs=160):
     return rows + [(500, None), (501, ""), (502, " \n"), (503, "one two"), (504, "ONE  two"), (505, "one"), (None, rows[0][1]), (None, "only null has this text here"), (3, rows[3][1]), (506, "é x \xa0y"), (507, "a " * 3000), (508, "a " * 2999)]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "short", "block"), [(3, 9, 10, 16, 128), (5, 4, 5, 2, 7), (3, 1, 2, 3, 10)])
-def test_against_all_pairs(spark, n, num, den, short, block):
+@pytest.mark.parametrize(("n", "num", "den", "short", "block", "hot"), [(3, 9, 10, 16, 128, 1 << 17), (5, 4, 5, 2, 7, 1 << 17), (3, 1, 2, 3, 10, 4)])
+def test_against_all_pairs(spark, n, num, den, short, block, hot):
     rows = corpus(n)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as component_id", "1 as n", "2 as cls", "3 as rid")
-    got = ngram_join.link(docs.repartition(5), n=n, num=num, den=den, bits=16, short=short, block_rows=block)
+    got = ngram_join.link(docs.repartition(5), n=n, num=num, den=den, bits=16, short=short, block_rows=block, hot_gram=hot)
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == brute(rows, n, num, den)
 
 
