@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, map_batches, small_batches, trim, write_table
 
 SIZES = (4, 6, 8)
-BITS = 20
+BITS = 22
 #: Training texts that must have an n-gram for it to be a feature.
 LEAST = 4
 #: Bytes of a text that are hashed at once.
@@ -36,14 +36,21 @@ def hashed(text: str | None) -> Iterator[np.ndarray]:
     for at in range(0, len(whole), STRETCH):
         b = whole[at : at + STRETCH + max(SIZES) - 1].astype(np.uint32)
         b[(b >= 9) & (b <= 13)] = 32
-        h = np.zeros(len(b), np.uint32)
-        for n in range(1, max(SIZES) + 1):
-            if len(b) < n:
-                break
-            h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(n)
-            if n in SIZES:
-                x = h * np.uint32(0x85EBCA6B)
-                yield (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
+        width, runs = 1, {1: b + np.uint32(1)}
+        while width * 2 <= min(len(b), max(SIZES)):  # hashes of runs of 2, 4, 8 ... bytes, each from two halves
+            half = runs[width]
+            runs[width * 2] = half[:-width] * np.uint32(0x9E3779B1) + (half[width:] ^ np.uint32(width))
+            width *= 2
+        for n in SIZES:
+            m, at, h = len(b) - n + 1, 0, None
+            if m < 1:
+                continue
+            for p in (1 << i for i in reversed(range(n.bit_length())) if n >> i & 1):
+                part = runs[p][at : at + m]
+                h = part if h is None else h * np.uint32(0x85EBCA77) + part
+                at += p
+            x = h * np.uint32(0x85EBCA6B)
+            yield (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
 
 
 def distinct(text: str | None) -> np.ndarray:
@@ -89,20 +96,22 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
                 docs[y] += 1
         yield pa.RecordBatch.from_pydict({"neg": [zlib.compress(n[0].tobytes(), 1)], "pos": [zlib.compress(n[1].tobytes(), 1)], "a": [docs[0]], "b": [docs[1]]})
 
-    neg, pos, total = np.zeros(1 << BITS), np.zeros(1 << BITS), [0, 0]
+    neg, pos, total = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), [0, 0]
     for r in rows.select("t", "y").mapInArrow(count, "neg binary, pos binary, a long, b long").collect():
         for into, raw in ((neg, r["neg"]), (pos, r["pos"])):
             into += np.frombuffer(zlib.decompress(raw), np.uint32)
         total = [total[0] + r["a"], total[1] + r["b"]]
-    none = np.full(1 << BITS, -1, np.int32)
+    none = np.full(1 << BITS, -1, np.int16)
     if not min(total):
         drop_table(rows)
         return Model(none, np.zeros(0), 30.0 if total[1] else -30.0)
-    share = (pos + neg) / sum(total)
-    z = (pos / total[1] - neg / total[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / total[0] + 1 / total[1]))
-    z[pos + neg < LEAST] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-    chosen = chosen[(np.abs(z[chosen]) >= 4) | (np.arange(len(chosen)) < 256)]
+    often = np.flatnonzero(pos + neg >= LEAST)
+    p, q = pos[often].astype(float), neg[often].astype(float)
+    share = (p + q) / sum(total)
+    z = (p / total[1] - q / total[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / total[0] + 1 / total[1]))
+    best = np.argsort(-np.abs(z), kind="stable")[: min(features, 1 << 15)]
+    best = best[(np.abs(z[best]) >= 4) | (np.arange(len(best)) < 256)]
+    chosen = often[best]
     ratio = np.log((pos[chosen] + 1) / (total[1] + 2)) - np.log((neg[chosen] + 1) / (total[0] + 2))
     slot = none.copy()
     slot[chosen] = np.arange(len(chosen))
