@@ -10,10 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Odd multipliers of the splitmix64 finaliser (fixed values).
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bytes of a text that are hashed at once.
+STRETCH = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 #: Odd multipliers that combine word hashes to shingle hashes (fixed values).
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -59,7 +63,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "2000")
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, owner: str = "texts") -> DataFrame:
     """mapInArrow with columns as Python lists on the way in, and lists, NumPy or Arrow arrays on the way out.
 
     Input batches are cut to pieces of about 4 MB, so that Python's copies of very long texts stay few.
@@ -69,6 +73,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, s
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in df.sparkSession.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             pa.default_memory_pool().release_unused()
             step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(1, batch.nbytes))))
@@ -99,37 +104,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes); forgets all once it holds `limit` words."""
-
-    def __init__(self, limit: int = 150_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _OWNERS: dict[str, Callable[[], None]] = {}
 _owner = ""
 
 
-def claim(owner: str, forget: Callable[[], None]) -> None:
-    """Says whose caches a Python worker holds from now on; those of any other operator are forgotten."""
+def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Says who uses a Python worker from now on; what any other operator has cached in it is forgotten."""
     global _owner
+    if forget:
+        _OWNERS[owner] = forget
     if _owner != owner:
         for name, clear in _OWNERS.items():
             if name != owner:
                 clear()
-        _OWNERS[owner], _owner = forget, owner
+        _owner = owner
         trim()
 
 
@@ -141,18 +129,69 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-_WORDS = WordHashes()
+def ascii_words(text: str | None) -> list[bytes]:
+    """Maximal runs of other characters than space and U+0009 to U+000D: what bytes.split() cuts at."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_hashes() -> WordHashes:
-    """The one cache of words that all operators in a Python worker share."""
-    claim("words", _WORDS.clear)
-    return _WORDS
+class _Powers:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Maximal runs of other characters than space and U+0009 to U+000D: what bytes.split() cuts at."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            m = max(n, 4096)
+            base, back = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+            self.up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, base))))
+            self.down = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, back))))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = _Powers()
+
+
+def _is_space(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of ascii_words(text), with A-Z lower-cased if asked, in order.
+
+    Words are hashed all at once, as polynomials of their bytes from running sums; words of 64 bytes or more, for which
+    polynomials modulo 2**64 can be made to collide, one by one by xxh3.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass")
+    raw = raw.lower() if lower else raw
+    if len(raw) <= STRETCH:
+        return _stretch(raw)
+    out, at = [], 0
+    while at < len(raw):  # cut between words
+        end = min(at + STRETCH, len(raw))
+        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+            end += 1
+        out.append(_stretch(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _stretch(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    outside = np.ones(len(b) + 2, bool)
+    outside[1:-1] = _is_space(b)
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    first, last = edges[::2], edges[1::2]
+    up, down = POWERS.of(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b + np.uint64(1)) * up[: len(b)], out=total[1:])
+    size = last - first
+    out = mix((total[last] - total[first]) * down[first] + size.astype(np.uint64) * _ODD[1])
+    for i in np.flatnonzero(size >= 64):
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]])
+    return out
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:

@@ -31,8 +31,7 @@ _CHUNK = 14  # the frequency table travels in pieces of 2**14 counts
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word n-grams, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(shingles(word_hashes().of(words), n)) if words else np.zeros(0, np.uint64)
+    return np.unique(shingles(word_hashes(text, lower=True), n))
 
 
 def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:

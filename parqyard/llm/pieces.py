@@ -201,7 +201,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
         return {c: batch[c] for c in keep} | {"token_ids": _lists(ids), "n_tokens": [0 if x is None else len(x) for x in ids], "lossless": same}
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(docs, run, f"{schema}token_ids array<int>, n_tokens int, lossless boolean")
+    return map_batches(docs, run, f"{schema}token_ids array<int>, n_tokens int, lossless boolean", "pieces")
 
 
 def decode(encoded: DataFrame, ids: str = "token_ids", out: str = "text", model: str | None = None) -> DataFrame:
@@ -213,4 +213,4 @@ def decode(encoded: DataFrame, ids: str = "token_ids", out: str = "text", model:
         return {c: batch[c] for c in keep} | {out: [None if x is None else p.decode(x) if len(x) else "" for x in batch[ids]]}
 
     schema = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(encoded, run, f"{schema}`{out}` string")
+    return map_batches(encoded, run, f"{schema}`{out}` string", "pieces")

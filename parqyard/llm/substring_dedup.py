@@ -24,37 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, drop_table, map_batches, mix, scratch_root, word_hashes, write_table
+from .common import POWERS, ascii_words, drop_table, map_batches, mix, scratch_root, word_hashes, write_table
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PART = 62  # windows in one row: their marks fit in a long
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 4096)
-            base, back = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            self.up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, base))))
-            self.down = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, back))))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def window_hashes(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor and the hash of each window, by its first word."""
+def window_hashes(text: str | None, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor and the hash of each window of the text's words, by its first word."""
+    words = word_hashes(text)
     n = len(words)
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    up, down = _POWERS.of(n + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(word_hashes().of(words) * up[:n])))
+    up, down = POWERS.of(n + 1)
+    total = np.concatenate(([np.uint64(0)], np.cumsum(words * up[:n])))
     grams = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     whole = mix((total[window:] - total[:-window]) * down[: n - window + 1] + np.uint64(0x632BE59BD9B4E019))
     least, width, want = grams, 1, window - gram + 1
@@ -119,7 +101,7 @@ class FingerprintIndex:
         def anchors(b: dict) -> dict:
             rid, ords, out = [], [], []
             for r, o, t in zip(b["rid"], b["ord"], b["text"]):
-                a = np.unique(window_hashes(ascii_words(t), window, gram)[0])
+                a = np.unique(window_hashes(t, window, gram)[0])
                 out.append(a.view(np.int64))
                 rid.append(np.full(len(a), r, np.int64))
                 ords.append(np.full(len(a), o, np.int64))
@@ -143,7 +125,7 @@ class FingerprintIndex:
         def windows(b: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("anchor", "rid", "ord", "new", "hot", "first", "hashes")}
             for r, o, t, cold, hot, new in zip(b["rid"], b["ord"], b["text"], b["cold"], b["hot"], b["new"]):
-                least, whole = window_hashes(ascii_words(t), window, gram)
+                least, whole = window_hashes(t, window, gram)
                 for kind, ids in ((False, cold), (True, hot)):
                     if not ids:
                         continue
