@@ -24,6 +24,8 @@ SIZES = (4, 6, 8)
 BITS = 22
 #: Training texts that must have an n-gram for it to be a feature.
 LEAST = 4
+#: Slots whose counts travel together.
+PIECE = 1 << 14
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
 
@@ -81,26 +83,44 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
         return {"t": batch["t"], "y": batch["y"], "sig": [distinct(t)[:6].tobytes() for t in batch["t"]]}
 
     # texts of one label with the same least hashes are copies, near ones too, and count once: else what two copies
-    # share would look like a sign of their label. Eight parts, so that a bounded number of counts reach the driver.
+    # share would look like a sign of their label
     once = map_batches(rows.select("t", "y"), sign, "t string, y int, sig binary").groupBy("sig", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     rows = write_table(once.select("t", "y").coalesce(8), "toxic-rows")
 
     def count(batches):
+        """Of each task: documents with the n-gram, by label, in pieces that have any; numbers of documents as the last."""
         import pyarrow as pa
 
-        n = np.zeros((2, 1 << BITS), np.uint32)  # documents with the n-gram, by label
-        docs = [0, 0]
+        n = np.zeros((2, 1 << BITS), np.uint32)
+        docs = np.zeros(2, np.uint32)
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n[y, distinct(t)] += 1
                 docs[y] += 1
-        yield pa.RecordBatch.from_pydict({"neg": [zlib.compress(n[0].tobytes(), 1)], "pos": [zlib.compress(n[1].tobytes(), 1)], "a": [docs[0]], "b": [docs[1]]})
+        flat = n.reshape(-1)
+        pieces = [(i, flat[i : i + PIECE]) for i in range(0, len(flat), PIECE) if flat[i : i + PIECE].any()] + [(len(flat), docs)]
+        for i, x in pieces:
+            yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int32()), "n": [zlib.compress(x.tobytes(), 1)]})
 
-    neg, pos, total = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), [0, 0]
-    for r in rows.select("t", "y").mapInArrow(count, "neg binary, pos binary, a long, b long").collect():
-        for into, raw in ((neg, r["neg"]), (pos, r["pos"])):
-            into += np.frombuffer(zlib.decompress(raw), np.uint32)
-        total = [total[0] + r["a"], total[1] + r["b"]]
+    def add(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(raw), np.uint32)
+                held[i] = held[i] + x if i in held else x
+        for i, x in held.items():
+            yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int32()), "n": [zlib.compress(x.tobytes(), 1)]})
+
+    flat, total = np.zeros(2 << BITS, np.uint32), [0, 0]
+    for r in rows.select("t", "y").mapInArrow(count, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").collect():
+        x = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
+        if r["at"] == len(flat):
+            total = [int(v) for v in x]
+        else:
+            flat[r["at"] : r["at"] + len(x)] = x
+    neg, pos = flat.reshape(2, -1)
     none = np.full(1 << BITS, -1, np.int16)
     if not min(total):
         drop_table(rows)
