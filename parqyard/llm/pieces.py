@@ -1,9 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its exact inverse.
 
-Merges come from an agenda ordered by score, then position. Each candidate that comes up is skipped for good when a
-keyed hash of (seed, variant, word, position, merged piece) falls below `dropout`; with dropout 0 the result is the
-model's own segmentation. Each occurrence of a word takes one of `variants` such segmentations by a keyed hash of the
-document's id and the occurrence's number, so copies of a text, and repeats within it, are segmented differently.
+Merges come from an agenda ordered by score, then position. Each candidate that comes up is skipped for good with
+probability `dropout`, drawn anew for each occurrence of a word from a keyed hash of (seed, the document's id, the
+occurrence's number, the draw's number); with dropout 0 the result is the model's own segmentation. So copies of a text,
+and repeats within it, are segmented independently. What is cached is a word's outcome under a given set of skips, which
+no draw depends on: a draw gives the number of candidates up to the next skip, mostly beyond the last one.
 Characters that the vocabulary lacks, and the literal U+2581, become byte pieces, so decoding returns
 the text exactly.
 
@@ -27,7 +28,11 @@ from .common import claim, map_batches, mix
 
 SPACE = "▁"
 _NEVER = 1 << 40
-_SLOTS = (1 << 20) - 1  # of the table that tells for a hash whether to skip
+_STEP = 0x9E3779B97F4A7C15
+_BITS = 16  # of a hash that give one gap between skips: four gaps from each hash
+_LONG = 64  # characters above which a word is not cached
+
+
 def _chunker(pieces) -> re.Pattern:
     """Cuts where no merge can cross: before the marks of a space, around line ends, and between letters and other
     characters (those that the vocabulary joins with the other kind count as no letters)."""
@@ -49,12 +54,13 @@ def default_model() -> str:
 
 
 class Pieces:
-    def __init__(self, model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2, cache: int = 300_000):
+    def __init__(self, model: str | None = None, dropout: float = 0.1, seed: int = 17, cache: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model or default_model())
-        self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants, cache
-        self.skips = (mix(np.arange(_SLOTS + 1, dtype=np.uint64) + np.uint64(seed << 20)) >> np.uint64(40) < dropout * (1 << 24)).tobytes()
+        self.dropout, self.seed, self.limit = dropout, seed, cache
+        self.gap = self._gaps(dropout)
+        self.gaps = self.gap.tolist()
         self.ids: dict[str, int] = {}
         self.byte = [0] * 256
         self.out: list[bytes] = []
@@ -72,50 +78,63 @@ class Pieces:
             raise ValueError("the model has pieces that reach over spaces or line ends")
         self.chunks = _chunker(self.ids).findall
         self.rank = {p: int(-sp.get_score(i)) for p, i in self.ids.items()}
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]  # two generations: words in use survive
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        # by word, or word, line end and skips: a line end is a chunk of its own; two generations: words in use survive
+        self.young: dict[str, tuple[int, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes]] = {}
 
     def key(self, doc: object) -> int:
-        """What the occurrences in one document draw their variants from."""
+        """What the occurrences in one document draw their skips from."""
         return xxhash.xxh3_64_intdigest(str("null" if doc is None else doc).encode(), self.seed)
 
-    def segment(self, word: str, variant: int) -> bytes:
-        """Ids (two bytes each) of one chunk between spaces."""
-        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1000003 + variant) & _SLOTS
+    @staticmethod
+    def _gaps(dropout: float) -> np.ndarray:
+        """By the bits of a hash, how many candidates come up before the next one that is skipped."""
+        if dropout <= 0:
+            return np.full(1 << _BITS, _NEVER)
+        if dropout >= 1:
+            return np.zeros(1 << _BITS, np.int64)
+        u = (np.arange(1 << _BITS) + 0.5) / (1 << _BITS)
+        return np.floor(np.log(u) / np.log1p(-dropout)).astype(np.int64)
+
+    def segment(self, word: str, skips: int = 0) -> tuple[int, bytes]:
+        """How many candidates come up in one chunk between spaces, and its ids (two bytes each); bit i of skips tells
+        whether the i-th one is skipped."""
         ids, byte, out = self.ids, self.byte, []
-        for p in self._short(word, key) if len(word) <= 24 else self._long(word, key):
+        s, n = self._short(word, skips) if len(word) <= 24 else self._long(word, skips)
+        for p in s:
             i = ids.get(p)
             if i is not None:
                 out.append(i)
             else:
                 out += [byte[b] for b in p.encode()]
-        return array("H", out).tobytes()
+        return n, array("H", out).tobytes()
 
-    def _short(self, word: str, key: int) -> list[str]:
+    def _short(self, word: str, skips: int) -> tuple[list[str], int]:
         """The agenda as a list of the neighbours' ranks, which is faster than a heap for few characters."""
-        s, get, skips = list(word), self.rank.get, self.skips
+        s, get, n = list(word), self.rank.get, 0
         agenda = [get(a + b, _NEVER) for a, b in zip(s, s[1:])]
-        start = list(range(len(s)))
         while agenda:
             r = min(agenda)
             if r == _NEVER:
                 break
             i = agenda.index(r)
-            if skips[(key ^ start[i] * 40503 + r * 30011) & _SLOTS]:
+            n += 1
+            if skips >> n - 1 & 1:
                 agenda[i] = _NEVER
                 continue
             s[i] += s.pop(i + 1)
-            del start[i + 1], agenda[i]
+            del agenda[i]
             if i < len(agenda):
                 agenda[i] = get(s[i] + s[i + 1], _NEVER)
             if i:
                 agenda[i - 1] = get(s[i - 1] + s[i], _NEVER)
-        return s
+        return s, n
 
-    def _long(self, word: str, key: int) -> list[str]:
+    def _long(self, word: str, skips: int) -> tuple[list[str], int]:
         """The agenda as a heap of (rank, position)."""
         s: list[str | None] = list(word)
-        n, rank, skips = len(s), self.rank, self.skips
+        n, rank, came = len(s), self.rank, 0
+        skip = skips.to_bytes(3 * n // 8 + 1 + skips.bit_length() // 8, "little")  # at most 3n candidates come up
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(r, i, i + 1, p) for i in range(n - 1) if (r := rank.get(p := s[i] + s[i + 1])) is not None]
         heapq.heapify(agenda)
@@ -123,7 +142,8 @@ class Pieces:
             r, i, j, p = heapq.heappop(agenda)
             if s[i] is None or s[j] is None or nxt[i] != j or len(s[i]) + len(s[j]) != len(p):
                 continue
-            if skips[(key ^ i * 40503 + r * 30011) & _SLOTS]:
+            came += 1
+            if skip[came - 1 >> 3] >> (came - 1 & 7) & 1:
                 continue
             s[i], s[j] = p, None
             k = nxt[i] = nxt[j]
@@ -134,7 +154,7 @@ class Pieces:
             h = prev[i]
             if h >= 0 and (r2 := rank.get(p2 := s[h] + p)) is not None:
                 heapq.heappush(agenda, (r2, h, i, p2))
-        return [p for p in s if p is not None]
+        return [p for p in s if p is not None], came
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Piece ids of the whole text."""
@@ -143,27 +163,66 @@ class Pieces:
         if SPACE in text:  # literal marks are encoded as bytes, each as a chunk of its own
             mark = np.array([self.byte[b] for b in SPACE.encode()], np.uint16).tobytes()
             parts = text.split(SPACE)
-            return np.frombuffer(mark.join(self._encode((" " if i == 0 else "") + p, key + i) for i, p in enumerate(parts)), np.uint16)
+            return np.frombuffer(mark.join(self._encode((" " if i == 0 else "") + p, key + (i << 40)) for i, p in enumerate(parts)), np.uint16)
         return np.frombuffer(self._encode(" " + text, key), np.uint16)
 
     def _encode(self, text: str, key: int) -> bytes:
         words = self.chunks(text.replace(" ", SPACE))
-        if self.variants == 1 or not self.dropout:
-            return b"".join([self.young[0].get(w) or self._missed(w, 0) for w in words])
-        young = self.young
-        draw = (mix(np.arange(len(words), dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)) % np.uint64(self.variants)
-        return b"".join([young[v].get(w) or self._missed(w, v) for w, v in zip(words, draw.tolist())])
-
-    def _missed(self, word: str, variant: int) -> bytes:
-        got = self.old[variant].get(word) or self.segment(word, variant)
-        if len(word) <= 64:
-            young = self.young[variant]
-            if len(young) >= self.limit:
-                self.old[variant] = dict(young)
-                young.clear()
-            young[word] = got
+        draws = mix(np.arange(len(words), dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+        first = self.gap[(draws >> np.uint64(64 - _BITS)).astype(np.int64)].tolist()
+        get, out = self.young.get, []
+        for i, (w, g) in enumerate(zip(words, first)):
+            got = get(w) or self._aged(w)
+            out.append(got[1] if got and g >= got[0] else self._dropped(w, got, g, int(draws[i])))
+        return b"".join(out)
+
+    def _dropped(self, word: str, got: tuple[int, bytes] | None, at: int, draw: int) -> bytes:
+        """The ids of an occurrence in which the candidate `at` is the first to be skipped; got is what is cached of the
+        word without skips. What is not cached yet is segmented once, with all skips that can matter."""
+        most = 3 * len(word)  # at most as many candidates come up
+        if len(word) > _LONG:
+            return self.segment(word, self._many(most, at, draw))[1]
+        skips, left, bits, gaps = 0, 3, draw, self.gaps
+        while at < (got[0] if got else most):
+            skips |= 1 << at
+            if not left:
+                draw = bits = int(mix(np.array([draw ^ _STEP], np.uint64))[0])
+                left = 4
+            else:
+                bits <<= _BITS
+            left -= 1
+            at += 1 + gaps[bits >> 64 - _BITS & (1 << _BITS) - 1]
+            if got:
+                got = self.young.get(key := f"{word}\n{skips}") or self._aged(key)
+        if not got:
+            got = self.segment(word, skips)
+            skips &= (1 << got[0]) - 1
+            self._keep(f"{word}\n{skips}" if skips else word, got)
+        return got[1]
+
+    def _many(self, most: int, at: int, draw: int) -> int:
+        """The skips among many candidates, of which `at` is the first, drawn at once."""
+        if not self.dropout:
+            return 0
+        draws = mix(np.arange(most, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(draw))
+        skip = (draws >> np.uint64(40)).astype(np.float64) < self.dropout * (1 << 24)
+        skip[:at] = False
+        skip[at : at + 1] = True
+        return int.from_bytes(np.packbits(skip, bitorder="little").tobytes(), "little")
+
+    def _aged(self, key: str) -> tuple[int, bytes] | None:
+        """What the older generation holds, which the younger one then has too."""
+        got = self.old.get(key)
+        if got:
+            self._keep(key, got)
         return got
 
+    def _keep(self, key: str, got: tuple[int, bytes]) -> None:
+        if len(self.young) >= self.limit:
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[key] = got
+
     def decode(self, ids) -> str:
         """The text that encode() was given."""
         raw = b"".join(map(self.out.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -171,8 +230,8 @@ class Pieces:
 
 
 @lru_cache(4)
-def _loaded(model: str | None, dropout: float, seed: int, variants: int) -> Pieces:
-    return Pieces(model, dropout, seed, variants)
+def _loaded(model: str | None, dropout: float, seed: int) -> Pieces:
+    return Pieces(model, dropout, seed)
 
 
 def _pieces(*settings) -> Pieces:
@@ -188,12 +247,12 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=none)
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None, dropout: float = 0.1, seed: int = 17) -> DataFrame:
     """docs without the text, with token_ids, n_tokens and lossless (whether decoding gave the text back)."""
     keep = [c for c in docs.columns if c != text]
 
     def run(batch: dict) -> dict:
-        p = _pieces(model, dropout, seed, variants)
+        p = _pieces(model, dropout, seed)
         ids, same = [], []
         for k, t in zip(batch[key], batch[text]):
             ids.append(None if t is None else p.encode(t, p.key(k)))
@@ -209,7 +268,7 @@ def decode(encoded: DataFrame, ids: str = "token_ids", out: str = "text", model:
     keep = encoded.columns
 
     def run(batch: dict) -> dict:
-        p = _pieces(model, 0.0, 0, 1)
+        p = _pieces(model, 0.0, 0)
         return {c: batch[c] for c in keep} | {out: [None if x is None else p.decode(x) if len(x) else "" for x in batch[ids]]}
 
     schema = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in keep)
