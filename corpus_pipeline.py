@@ -44,8 +44,8 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of about 70 % of the tokens, by probabilities raked to source, language and topic targets."""
-    got = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS, keep=KEEP_TOKENS)
+    """A sample of up to 70 % of the tokens, as far as the source, language and topic targets allow, in the raked mixture."""
+    got = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS, keep=KEEP_TOKENS, capped=True)
     return got.filter("selected").select(*docs.columns)
 
 

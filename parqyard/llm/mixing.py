@@ -3,8 +3,10 @@
 The tokens of each cell (source, language, topic) are raked: weights are scaled to each target marginal in turn,
 `rounds` times over. A cell's weight over its tokens, divided by the largest such ratio, is the probability with which
 each of its documents is kept, so expected tokens have the raked mixture; one factor for all probabilities, found by
-fixed-point steps with those at 1 held, then brings the expected share of tokens to `keep`. A document is kept when
-its keyed hash, a number in [0, 1) from its id alone, is below the probability.
+fixed-point steps with those at 1 held, then brings the expected share of tokens to `keep`. Where `keep` is more than
+the ratios allow, probabilities are clipped at 1 and the others raised, and the sample's marginals are no longer the
+raked ones. With `capped`, the marginals hold instead: cells are raked anew with their tokens as upper bounds, and
+`keep` is itself an upper bound, lowered to what the marginals allow. A document is kept when its keyed hash, a number in [0, 1) from its id alone, is below the probability.
 
 Targets are (tokens of the value) ** power, normalised: power 1 keeps a marginal, 0 makes it uniform. Explicit weights
 by value may be given instead; values without one get 0, and all weights of values that do not occur are ignored.
@@ -36,7 +38,7 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, keep: float = 0.5, steps: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, keep: float = 0.5, steps: int = 8, capped: bool = False) -> DataFrame:
     """cells (one row each: the marginals and tokens) with weight (shares that sum to 1) and probability."""
     whole = Window.partitionBy(F.lit(0))
     c = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -65,6 +67,8 @@ def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, k
                 drop_table(old)
     total = F.sum("weight").over(whole)
     c = c.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
+    if capped:
+        return _under_caps(c, list(targets), rounds, keep).select(*targets, "tokens", "weight", "probability")
     c = c.withColumn("_all", F.sum("tokens").over(whole)).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     c = c.withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce(F.col("_ratio") / F.max("_ratio").over(whole), F.lit(0.0))).otherwise(1.0))
     has = F.col("tokens") > 0
@@ -79,13 +83,47 @@ def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, k
     return c.select(*targets, "tokens", "weight", "probability")
 
 
-def mix(docs: DataFrame, marginals: dict[str, Column], targets: dict[str, float | dict], key: str = "doc_id", text: str = "text", keep: float = 0.5, rounds: int = 12, seed: str = "mix:") -> DataFrame:
+def _under_caps(c: DataFrame, names: list[str], rounds: int, keep: float, plain: int = 4) -> DataFrame:
+    """The probabilities at which the expected tokens have the marginals of the weights, no cell giving more than it has.
+
+    First the share of tokens is lowered to what each value's tokens allow. Rounds of raking, in which a cell counts with
+    at most its tokens, then move what full cells can't give to others of the same values. A few plain rounds make the
+    marginals exact, and if a cell is then above its tokens, all are scaled down.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    c = c.withColumn("_all", F.sum("tokens").over(whole))
+    most = F.lit(float(keep))
+    for name in names:
+        by = Window.partitionBy(name)
+        c = c.withColumn(f"_m_{name}", F.sum("weight").over(by))
+        c = c.withColumn(f"_most_{name}", F.when(F.col(f"_m_{name}") > 0, F.sum("tokens").over(by) / (F.col("_all") * F.col(f"_m_{name}"))))
+        most = F.least(most, F.min(f"_most_{name}").over(whole))
+    c = c.withColumn("_sum", F.col("_all") * most).withColumn("_x", F.col("weight") * F.col("_sum"))
+    held = None
+    for k in range(1, rounds + plain + 1):
+        for name in names:
+            given = F.least(F.col("_x"), F.col("tokens").cast("double")) if k <= rounds else F.col("_x")
+            now = F.sum(given).over(Window.partitionBy(name))
+            c = c.withColumn("_x", F.when(now > 0, F.col("_x") * F.col("_sum") * F.col(f"_m_{name}") / now).otherwise(0.0))
+        if k == rounds:
+            c = c.withColumn("_x", F.least(F.col("_x"), F.col("tokens").cast("double")))
+        if k % 4 == 0 or k == rounds + plain:
+            c, old = write_table(c, "capping"), held
+            held = c
+            if old is not None:
+                drop_table(old)
+    p = F.col("_x") / F.col("tokens")
+    c = c.withColumn("_p", F.when(F.col("tokens") > 0, p).otherwise(0.0))
+    return c.withColumn("probability", F.when(F.col("tokens") > 0, F.col("_p") / F.greatest(F.lit(1.0), F.max("_p").over(whole))).otherwise(1.0))
+
+
+def mix(docs: DataFrame, marginals: dict[str, Column], targets: dict[str, float | dict], key: str = "doc_id", text: str = "text", keep: float = 0.5, rounds: int = 12, seed: str = "mix:", capped: bool = False) -> DataFrame:
     """docs plus the marginals' columns where new, n_tokens, weight (of the cell), probability and selected."""
     names = list(marginals)
     plain = docs.drop(*ADDED)
     rows = plain.withColumns({f"_m_{n}": c for n, c in marginals.items()} | {"n_tokens": words(F.col(text))})
     cells = rows.groupBy(*[F.col(f"_m_{n}").alias(n) for n in names]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = write_table(rake(write_table(cells, "cells"), targets, rounds, keep), "raked")
+    cells = write_table(rake(write_table(cells, "cells"), targets, rounds, keep, capped=capped), "raked")
     cells = cells.select(*[F.col(n).alias(f"_c_{n}") for n in names], F.col("weight").alias("_c_weight"), F.col("probability").alias("_c_probability"))
     out = rows.join(cells, [F.col(f"_m_{n}").eqNullSafe(F.col(f"_c_{n}")) for n in names])
     new = [F.col(f"_m_{n}").alias(n) for n in names if n not in plain.columns]
