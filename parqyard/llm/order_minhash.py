@@ -6,8 +6,13 @@ occurrence) deals them to `sketches` bins; in each bin the two least ones are se
 as a tuple. A fingerprint is the list of these tuples' hashes; likeness is the share of bins that agree among those
 that either fingerprint fills. Everything is Spark SQL inside one row; nothing is exploded or shuffled.
 
+With `dense`, a bin of fewer than two k-mers takes those that follow it in the order of hashes, from the last bin on to
+the first. So each sketch has the first two k-mers from its bin's start on, whatever the length of the text, and short
+texts keep the order of their k-mers too. A bin of two or more gives the same either way.
+
 Edge cases: null counts as empty. Texts without tokens have empty bins only: likeness 1 to another such text, 0 to any
-other. Texts of fewer than k tokens have one k-mer, the whole. A bin with one k-mer hashes that alone. Very long texts
+other. Texts of fewer than k tokens have one k-mer, the whole. A bin with one k-mer hashes that alone,
+unless `dense` finds it a second one. Very long texts
 work whole, up to 2**24 k-mers in order; beyond, positions wrap around.
 """
 
@@ -29,7 +34,7 @@ def _hash(p: Column) -> Column:
     return F.shiftright(p, 24)
 
 
-def fingerprint(df: DataFrame, texts: dict[str, str], k: int = 3, sketches: int = 64) -> DataFrame:
+def fingerprint(df: DataFrame, texts: dict[str, str], k: int = 3, sketches: int = 64, dense: bool = False) -> DataFrame:
     """df plus, for each column of texts, an array<int> fingerprint under the name that texts gives it."""
     bits = sketches.bit_length() - 1
     if 1 << bits != sketches:
@@ -70,6 +75,23 @@ def fingerprint(df: DataFrame, texts: dict[str, str], k: int = 3, sketches: int
         df = df.withColumn(m, F.sort_array(F.transform(sorted_, numbered)))
         df = df.withColumn(two, F.filter(F.col(m), lambda x, p: (p < 2) | (bin_of(F.get(F.col(m), p - 2)) != bin_of(x))))  # noqa: B023
 
+        if dense:
+
+            def from_here(x: Column, p: Column) -> Column:
+                """The tuple of x and what follows it, once for each bin that starts after the k-mer before x."""
+                y = F.coalesce(F.get(F.col(two), p + 1), F.get(F.col(two), F.lit(0)))  # noqa: B023
+                alone = F.size(F.col(two)) == 1  # noqa: B023
+                swapped = ~alone & (place(y) < place(x))
+                h = F.xxhash64(F.when(swapped, _hash(y)).otherwise(_hash(x)), F.when(alone, F.lit(-1).cast("long")).when(swapped, _hash(x)).otherwise(_hash(y)))
+                starts = bin_of(x) - F.when(p > 0, bin_of(F.get(F.col(two), p - 1))).otherwise(F.lit(-1))  # noqa: B023
+                return F.array_repeat(F.shiftrightunsigned(h, 40).cast("int"), starts.cast("int"))
+
+            df = df.withColumn(f"_b_{out}", F.flatten(F.transform(F.col(two), from_here)))
+            filled = F.col(f"_b_{out}")
+            rest = F.array_repeat(F.get(filled, F.lit(0)), F.lit(sketches) - F.size(filled))  # null if there are no k-mers
+            df = df.withColumn(out, F.concat(filled, rest)).drop(t, s, m, two, f"_b_{out}")
+            continue
+
         def tuple_hash(x: Column, p: Column) -> Column:
             """Of the two in x's bin, if x is the first of them, in text order."""
             y = F.get(F.col(two), p + 1)  # noqa: B023

@@ -71,14 +71,14 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = write_table(near.select("k", taker.alias("taker")), "chain")
     release(near)
     # fingerprinted before the exchange by k, which both uses below share
-    docs = order_minhash.fingerprint(docs, {"text": "fp"})
+    docs = order_minhash.fingerprint(docs, {"text": "fp"}, dense=True)
     given = docs.join(chain, "k").select(F.col("taker.k").alias("to"), F.struct(F.expr("substring(text, 1, cast(floor(taker.n / 3) as int))").alias("start"), F.col("fp").alias("next_fp"), "doc_id").alias("given"))
     given = given.groupBy("to").agg(F.max("given").alias("given"))
     rows = docs.join(given, F.col("k") == F.col("to"), "left")
     n = F.length("text")
     cut = F.expr("cast(floor(length(text) / 3) as int)")
     rows = rows.select("doc_id", "fp", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("given.start", F.lit(1), cut)).alias("edited"), F.col("given.next_fp").alias("next_fp"))
-    rows = order_minhash.fingerprint(rows, {"edited": "edited_fp"})
+    rows = order_minhash.fingerprint(rows, {"edited": "edited_fp"}, dense=True)
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), order_minhash.as_text(F.col("fp")).alias("fingerprint"), order_minhash.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         order_minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), order_minhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
