@@ -265,12 +265,12 @@ def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("row_group_scan", "select c_custkey, c_name from customer")
 def row_group_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row groups of a file one by one, which together are the file."""
-    file = list_files(spark, f"{sf_dir}/customer.parquet")[0]
-    groups = footer(spark, file, "files").first()["num_row_groups"]
-    out = row_group(spark, file, 0)
-    for i in range(1, groups):
-        out = out.unionByName(row_group(spark, file, i))
+    """The row groups of each file one by one, which together are the table."""
+    path = f"{sf_dir}/customer.parquet"
+    out = read(spark, path)[0].limit(0)
+    for file in list_files(spark, path):
+        for i in range(footer(spark, file, "files").first()["num_row_groups"]):
+            out = out.unionByName(row_group(spark, file, i))
     return out.select("c_custkey", "c_name")
 
 
