@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Odd multipliers of the splitmix64 finaliser (fixed values).
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder of the cluster, from spark.checkpoint.dir; where that is unset, a local one if Spark is local,
+    else an error, as each executor would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file:/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -63,6 +66,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "2000")
 
 
+def rest(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those named as one of names, in whatever case, as Spark compares them."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def values(column: pa.Array) -> list:
+    """A column as a Python list; in strings, invalid UTF-8 becomes U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            return [None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()]
+        raise
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, owner: str = "texts") -> DataFrame:
     """mapInArrow with columns as Python lists on the way in, and lists, NumPy or Arrow arrays on the way out.
 
@@ -79,7 +99,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, o
             step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
+                out = fn({n: values(part.column(i)) for i, n in enumerate(names)})
                 if out:
                     columns = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type, from_pandas=False) for f in arrow]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -97,9 +117,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(30)
-    x *= _MIX[0]
+    x *= np.uint64(MIX[0])
     x ^= x >> np.uint64(27)
-    x *= _MIX[1]
+    x *= np.uint64(MIX[1])
     x ^= x >> np.uint64(31)
     return x
 
