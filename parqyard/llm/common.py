@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multipliers of the splitmix64 finaliser (fixed values).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -66,6 +67,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "2000")
 
 
+def identity(*columns: str | Column) -> Column:
+    """128 bits of a hash of the columns as 32 hex digits: two 64-bit ones that begin differently. Nulls count."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in ("first", "second")])
+
+
 def rest(df: DataFrame, *names: str) -> list[str]:
     """The columns of df but those named as one of names, in whatever case, as Spark compares them."""
     taken = {n.lower() for n in names}
