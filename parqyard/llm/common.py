@@ -68,8 +68,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def identity(*columns: str | Column) -> Column:
-    """128 bits of a hash of the columns as 32 hex digits: two 64-bit ones that begin differently. Nulls count."""
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in ("first", "second")])
+    """128 bits of a hash of the columns as 32 hex digits: two 64-bit ones that begin differently.
+
+    A null, which the hash passes over, counts by its place.
+    """
+    nulls = F.concat(*[F.when((F.col(c) if isinstance(c, str) else c).isNull(), "1").otherwise("0") for c in columns])
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *columns)), 16, "0") for seed in ("first", "second")])
 
 
 def rest(df: DataFrame, *names: str) -> list[str]:

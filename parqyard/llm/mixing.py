@@ -1,29 +1,33 @@
 """Mixing documents to target weights by iterative proportional fitting, in Spark SQL.
 
-The tokens of each cell (source, language, topic) are raked: weights are scaled to each target marginal in turn,
-`rounds` times over. A cell's weight over its tokens, divided by the largest such ratio, is the probability with which
-each of its documents is kept, so expected tokens have the raked mixture; one factor for all probabilities, found by
-fixed-point steps with those at 1 held, then brings the expected share of tokens to `keep`. Where `keep` is more than
-the ratios allow, probabilities are clipped at 1 and the others raised, and the sample's marginals are no longer the
-raked ones. With `capped`, the marginals hold instead: cells are raked anew with their tokens as upper bounds, and
-`keep` is itself an upper bound, lowered to what the marginals allow. A document is kept when its keyed hash, a number in [0, 1) from its id alone, is below the probability.
+The tokens of each cell (source, language, topic) are raked under caps: what a cell gives is its tokens times a factor for
+each of its values, at most all its tokens, and in turn the factors of each marginal are scaled to its targets. First the
+share of tokens asked for, `keep`, is lowered to what each value's tokens allow, so it is an upper bound. After `rounds`
+rounds what each cell gives is held, a few plain rounds without caps make the marginals exact, and if a cell is then above
+its tokens, all are scaled down alike. So expected tokens have the target marginals, whatever `keep` is; `marginals()`
+tells how far they are off (targets that no mixture of the cells meets can't be reached). A cell's share of its tokens is the
+probability with which each of its documents is kept: when its keyed hash, a number in [0, 1) from its id alone, is below it.
 
 Targets are (tokens of the value) ** power, normalised: power 1 keeps a marginal, 0 makes it uniform. Explicit weights
 by value may be given instead; values without one get 0, and all weights of values that do not occur are ignored.
 
+Sums over the cells of a value are grouped aggregates, with partial sums before their exchange, joined back to the cells;
+what is global (the number of tokens, the largest probability) is one number.
+
 Edge cases: null sources, languages and topics are a value of their own. Texts without tokens weigh nothing and have
 the probability of their cell, 1 if the whole cell has no tokens. Repeated rows get the same decision. An empty table gives no rows.
 Extra columns are kept; those named as the ones added here are replaced. Cells number at most as many as combinations
-of values and are never collected; the windows below hold cells, not documents.
+of values and are never collected.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import drop_table, write_table
+from .common import drop_table, rest, write_table
 
 ADDED = ("n_tokens", "weight", "probability", "selected")
 
@@ -38,94 +42,68 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, keep: float = 0.5, steps: int = 8, capped: bool = False) -> DataFrame:
+def _targets(cells: DataFrame, name: str, target: float | dict) -> tuple[DataFrame, float]:
+    """(v, share) for each value of a marginal, and the most tokens that its values allow in all."""
+    by = cells.groupBy(F.col(name).alias("v")).agg(F.sum("tokens").alias("t"))
+    if isinstance(target, dict):
+        if not target:
+            raise ValueError(f"no target weights for {name}")
+        given = F.create_map(*[x for k, v in target.items() for x in (F.lit(k), F.lit(float(v)))])
+        value = F.coalesce(F.element_at(given, F.coalesce(F.col("v").cast("string"), F.lit("null"))), F.lit(0.0))
+    else:
+        value = F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(float(target)))).otherwise(0.0)
+    known = by.withColumn("w", value)
+    total, least = known.agg(F.sum("w"), F.min(F.when(F.col("w") > 0, F.col("t") / F.col("w")))).first()
+    share = F.when(F.lit(total or 0.0) > 0, F.col("w") / F.lit(total or 1.0)).otherwise(0.0)
+    return known.select("v", share.alias("share")), (least or 0.0) * (total or 0.0)
+
+
+def rake(cells: DataFrame, targets: dict[str, float | dict], rounds: int = 12, keep: float = 0.5, plain: int = 4) -> DataFrame:
     """cells (one row each: the marginals and tokens) with weight (shares that sum to 1) and probability."""
-    whole = Window.partitionBy(F.lit(0))
-    c = cells.withColumn("weight", F.col("tokens").cast("double"))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    most, c, tokens = keep * total, cells, F.col("tokens").cast("double")
     for name, target in targets.items():
-        by = Window.partitionBy(name)
-        if isinstance(target, dict):
-            if not target:
-                raise ValueError(f"no target weights for {name}")
-            given = F.create_map(*[x for k, v in target.items() for x in (F.lit(k), F.lit(float(v)))])
-            value = F.coalesce(F.element_at(given, F.coalesce(F.col(name).cast("string"), F.lit("null"))), F.lit(0.0))
-        else:
-            total = F.sum("tokens").over(by)
-            value = F.when(total > 0, F.pow(total.cast("double"), F.lit(float(target)))).otherwise(0.0)
-        # each value's target once, whatever the number of its cells
-        c = c.withColumn("_v", value).withColumn("_n", F.count("*").over(by))
-        c = c.withColumn(f"_target_{name}", F.col("_v") / F.sum(F.col("_v") / F.col("_n")).over(whole)).drop("_v", "_n")
-    held = None
-    for k in range(1, rounds + 1):
-        for name in targets:
-            now = F.sum("weight").over(Window.partitionBy(name))
-            c = c.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_target_{name}") / now).otherwise(0.0))
-        if k % 4 == 0 or k == rounds:  # a written table keeps the plan shallow
-            c, old = write_table(c, "raking"), held
-            held = c
-            if old is not None:
-                drop_table(old)
-    total = F.sum("weight").over(whole)
-    c = c.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
-    if capped:
-        return _under_caps(c, list(targets), rounds, keep).select(*targets, "tokens", "weight", "probability")
-    c = c.withColumn("_all", F.sum("tokens").over(whole)).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    c = c.withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce(F.col("_ratio") / F.max("_ratio").over(whole), F.lit(0.0))).otherwise(1.0))
-    has = F.col("tokens") > 0
-    gives = F.sum(F.col("tokens") * F.col("probability")).over(whole)
-    c = c.withColumn("probability", F.when(has & (gives > 0), F.least(F.lit(1.0), F.col("probability") * (F.col("_all") * keep / gives))).otherwise(F.col("probability")))
-    for _ in range(steps):  # raise what is below 1 until the tokens suffice; what reaches 1 stays
-        full = F.col("probability") >= 1
-        held = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(whole)
-        rest = F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("probability"))).over(whole)
-        factor = F.when(rest > 0, (F.col("_all") * keep - held) / rest).otherwise(1.0)
-        c = c.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.greatest(F.lit(1.0), factor)))
-    return c.select(*targets, "tokens", "weight", "probability")
-
-
-def _under_caps(c: DataFrame, names: list[str], rounds: int, keep: float, plain: int = 4) -> DataFrame:
-    """The probabilities at which the expected tokens have the marginals of the weights, no cell giving more than it has.
-
-    First the share of tokens is lowered to what each value's tokens allow. Rounds of raking, in which a cell counts with
-    at most its tokens, then move what full cells can't give to others of the same values. A few plain rounds make the
-    marginals exact, and if a cell is then above its tokens, all are scaled down.
-    """
-    whole = Window.partitionBy(F.lit(0))
-    c = c.withColumn("_all", F.sum("tokens").over(whole))
-    most = F.lit(float(keep))
-    for name in names:
-        by = Window.partitionBy(name)
-        c = c.withColumn(f"_m_{name}", F.sum("weight").over(by))
-        c = c.withColumn(f"_most_{name}", F.when(F.col(f"_m_{name}") > 0, F.sum("tokens").over(by) / (F.col("_all") * F.col(f"_m_{name}"))))
-        most = F.least(most, F.min(f"_most_{name}").over(whole))
-    c = c.withColumn("_sum", F.col("_all") * most).withColumn("_x", F.col("weight") * F.col("_sum"))
-    held = None
-    for k in range(1, rounds + plain + 1):
-        for name in names:
-            given = F.least(F.col("_x"), F.col("tokens").cast("double")) if k <= rounds else F.col("_x")
-            now = F.sum(given).over(Window.partitionBy(name))
-            c = c.withColumn("_x", F.when(now > 0, F.col("_x") * F.col("_sum") * F.col(f"_m_{name}") / now).otherwise(0.0))
-        if k == rounds:
-            c = c.withColumn("_x", F.least(F.col("_x"), F.col("tokens").cast("double")))
-        if k % 4 == 0 or k == rounds + plain:
-            c, old = write_table(c, "capping"), held
-            held = c
-            if old is not None:
-                drop_table(old)
-    p = F.col("_x") / F.col("tokens")
-    c = c.withColumn("_p", F.when(F.col("tokens") > 0, p).otherwise(0.0))
-    return c.withColumn("probability", F.when(F.col("tokens") > 0, F.col("_p") / F.greatest(F.lit(1.0), F.max("_p").over(whole))).otherwise(1.0))
-
-
-def mix(docs: DataFrame, marginals: dict[str, Column], targets: dict[str, float | dict], key: str = "doc_id", text: str = "text", keep: float = 0.5, rounds: int = 12, seed: str = "mix:", capped: bool = False) -> DataFrame:
+        shares, allowed = _targets(cells, name, target)
+        most = min(most, allowed)
+        c = c.join(shares.select(F.col("v").alias("_v"), F.col("share").alias(f"_share_{name}")), F.col(name).eqNullSafe(F.col("_v"))).drop("_v")
+    c = write_table(c.withColumn("_x", tokens * F.lit(most / total if total else 0.0)), "raking")
+    capped = F.least("_x", tokens)
+    names = [*targets]
+    for step in range((rounds + plain) * len(names)):
+        name, last = names[step % len(names)], rounds * len(names)
+        x = capped if step == last else F.col("_x")  # from here on what each cell gives is held
+        now = c.groupBy(F.col(name).alias("_v")).agg(F.sum(capped if step <= last else "_x").alias("_now"))
+        fit = F.when(F.col("_now") > 0, x * F.lit(most) * F.col(f"_share_{name}") / F.col("_now")).otherwise(0.0)
+        new = write_table(c.join(now, F.col(name).eqNullSafe(F.col("_v"))).withColumn("_x", fit).drop("_v", "_now"), "raking")
+        drop_table(c)
+        c = new
+    p = F.when(F.col("tokens") > 0, F.col("_x") / tokens)
+    whole, high = c.agg(F.sum("_x"), F.max(p)).first()
+    weight = F.col("_x") / F.lit(whole) if whole else F.lit(0.0)
+    return c.select(*targets, "tokens", weight.alias("weight"), F.coalesce(p / F.lit(max(1.0, high or 0.0)), F.lit(1.0)).alias("probability"))
+
+
+def marginals(raked: DataFrame, name: str, target: float | dict) -> DataFrame:
+    """(v, target, share, shortfall) of a marginal: its targets, and what the expected tokens of raked cells have."""
+    shares, _ = _targets(raked, name, target)
+    by = raked.groupBy(F.col(name).alias("_v")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("x"))
+    total = by.agg(F.sum("x")).first()[0] or math.inf
+    out = shares.join(by, F.col("v").eqNullSafe(F.col("_v"))).select("v", F.col("share").alias("target"), (F.col("x") / F.lit(total)).alias("share"))
+    return out.withColumn("shortfall", F.col("target") - F.col("share"))
+
+
+def mix(docs: DataFrame, marginals: dict[str, Column], targets: dict[str, float | dict], key: str = "doc_id", text: str = "text", keep: float = 0.5, rounds: int = 12, seed: str = "mix:") -> DataFrame:
     """docs plus the marginals' columns where new, n_tokens, weight (of the cell), probability and selected."""
     names = list(marginals)
-    plain = docs.drop(*ADDED)
+    plain = docs.select(*[F.col(f"`{c}`") for c in rest(docs, *ADDED)])
     rows = plain.withColumns({f"_m_{n}": c for n, c in marginals.items()} | {"n_tokens": words(F.col(text))})
     cells = rows.groupBy(*[F.col(f"_m_{n}").alias(n) for n in names]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = write_table(rake(write_table(cells, "cells"), targets, rounds, keep, capped=capped), "raked")
+    cells = write_table(cells, "cells")
+    raked = write_table(rake(cells, targets, rounds, keep), "raked")
+    drop_table(cells)
+    cells = raked
     cells = cells.select(*[F.col(n).alias(f"_c_{n}") for n in names], F.col("weight").alias("_c_weight"), F.col("probability").alias("_c_probability"))
     out = rows.join(cells, [F.col(f"_m_{n}").eqNullSafe(F.col(f"_c_{n}")) for n in names])
     new = [F.col(f"_m_{n}").alias(n) for n in names if n not in plain.columns]
     chosen = draw(F.col(key), seed) < F.col("_c_probability")
-    return out.select(*[F.col(c) for c in plain.columns], *new, "n_tokens", F.col("_c_weight").alias("weight"), F.col("_c_probability").alias("probability"), chosen.alias("selected"))
+    return out.select(*[F.col(f"`{c}`") for c in plain.columns], *new, "n_tokens", F.col("_c_weight").alias("weight"), F.col("_c_probability").alias("probability"), chosen.alias("selected"))

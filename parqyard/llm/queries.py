@@ -163,35 +163,34 @@ from i group by c
 """
 
 
-def _op4_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
+def _op4_sql(rounds: int = 12, plain: int = 4, keep: float = 0.5) -> str:
     """The raking of mixing.rake as a chain of common table expressions."""
     ctes = [
         r"""d as (select doc_id, source, lang, 'topic' || (('0x' || substr(md5(regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1, 8))::bigint % 6) as topic,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)""",
-        "c0 as (select source, lang, topic, sum(n_tokens)::bigint as tokens, sum(n_tokens)::double as weight from d group by all)",
+        "c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from d group by all)",
     ]
     for name, power in TARGETS.items():
-        ctes.append(f"t_{name} as (select {name} as v, case when sum(tokens) > 0 then pow(sum(tokens)::double, {power}) else 0 end as t from c0 group by 1)")
+        ctes.append(f"w_{name} as (select {name} as v, sum(tokens) as t, case when sum(tokens) > 0 then pow(sum(tokens)::double, {power}) else 0 end as w from c group by 1)")
+        ctes.append(f"t_{name} as (select v, t, w / (select sum(w) from w_{name}) as share from w_{name})")
+    allowed = ", ".join(f"(select min(t / share) from t_{n} where share > 0)" for n in TARGETS)
+    ctes.append(f"most as (select least({keep} * (select sum(tokens) from c), {allowed}) as m)")
+    shares = " ".join(f"join t_{n} on c.{n} is not distinct from t_{n}.v" for n in TARGETS)
+    ctes.append(f"x0 as (select c.*, {', '.join(f't_{n}.share as m_{n}' for n in TARGETS)}, tokens * ((select m from most) / (select sum(tokens) from c)) as x from c {shares})")
     at = 0
-    for _ in range(rounds):
+    for k in range(rounds + plain):
         for name in TARGETS:
-            ctes.append(
-                f"c{at + 1} as (select source, lang, topic, tokens, case when sum(weight) over (partition by {name}) > 0 then weight * (t / (select sum(t) from t_{name})) / sum(weight) over (partition by {name}) else 0 end as weight "
-                f"from c{at} join t_{name} on {name} is not distinct from v)"
-            )
+            given = "least(x, tokens)" if k < rounds else "x"
+            ctes.append(f"x{at + 1} as (select * exclude (x), case when sum({given}) over w > 0 then x * (select m from most) * m_{name} / sum({given}) over w else 0 end as x from x{at} window w as (partition by {name}))")
             at += 1
-    ctes.append(f"w as (select source, lang, topic, tokens, case when sum(weight) over () > 0 then weight / sum(weight) over () else 0 end as weight from c{at})")
-    ctes.append("r as (select *, case when tokens > 0 then weight / tokens else 0 end as ratio from w)")
-    ctes.append("first_p as (select *, case when tokens > 0 then coalesce(ratio / nullif(max(ratio) over (), 0), 0) else 1 end as p from r)")
-    ctes.append("g as (select *, sum(tokens * p) over () as gives, sum(tokens) over () as total from first_p)")
-    ctes.append(f"p0 as (select source, lang, topic, tokens, weight, ratio, case when tokens > 0 and gives > 0 then least(1.0, p * (total * {keep} / gives)) else p end as p from g)")
-    for k in range(steps):
-        ctes.append(f"q{k} as (select *, coalesce(sum(tokens) filter (where p >= 1) over (), 0) as held, coalesce(sum(tokens * p) filter (where p < 1) over (), 0) as rest, sum(tokens) over () as total from p{k})")
-        ctes.append(f"p{k + 1} as (select source, lang, topic, tokens, weight, ratio, least(1.0, p * greatest(1.0, case when rest > 0 then (total * {keep} - held) / rest else 1 end)) as p from q{k})")
-    return "with " + ",\n".join(ctes) + f"""
+        if k == rounds - 1:
+            ctes.append(f"x{at + 1} as (select * exclude (x), least(x, tokens) as x from x{at})")
+            at += 1
+    ctes.append(f"p as (select source, lang, topic, x / (select sum(x) from x{at}) as weight, case when tokens > 0 then x / tokens / greatest(1, (select max(x / tokens) from x{at} where tokens > 0)) else 1 end as p from x{at})")
+    return "with " + ",\n".join(ctes) + """
 select doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 6) as weight, round(p, 6) as probability,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double / 281474976710656 < p as selected
-from d join p{steps} c on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic is not distinct from c.topic"""
+from d join p on d.source is not distinct from p.source and d.lang is not distinct from p.lang and d.topic is not distinct from p.topic"""
 
 
 _OP7_SQL = """

@@ -41,38 +41,9 @@ def test_encode_decode(spark):
     assert [(r["text"], r["lossless"]) for r in pieces.decode(pieces.encode(broken)).collect()] == [("a\ufffdb", True)]
 
 
-def rake(cells, targets, rounds):
-    w = {c: float(n) for c, n in cells.items()}
-    for _ in range(rounds):
-        for axis, t in enumerate(targets):
-            by = {}
-            for c, x in w.items():
-                by[c[axis]] = by.get(c[axis], 0) + x
-            w = {c: x * t[c[axis]] / by[c[axis]] if by[c[axis]] else 0 for c, x in w.items()}
-    total = sum(w.values())
-    return {c: x / total for c, x in w.items()}
-
-
-def test_raking(spark):
-    rnd = random.Random(9)
-    cells = {(s, g, t): rnd.randint(1, 1000) for s in "abc" for g in "xy" for t in "12" if rnd.random() < 0.9}
-    targets = {"s": 0.5, "g": {"x": 3.0, "y": 1.0}, "t": 0.0}
-    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "s string, g string, t string, tokens long")
-    got = {tuple(r)[:3]: r for r in mixing.rake(df, targets, rounds=30, keep=0.6).collect()}
-    sums = {}
-    for c, n in cells.items():
-        sums[c[0]] = sums.get(c[0], 0) + n
-    half = {k: v**0.5 for k, v in sums.items()}
-    want = rake(cells, [{k: v / sum(half.values()) for k, v in half.items()}, {"x": 0.75, "y": 0.25}, {"1": 0.5, "2": 0.5}], 30)
-    assert all(abs(got[c]["weight"] - w) < 1e-9 for c, w in want.items())
-    assert abs(sum(r["weight"] for c, r in got.items() if c[1] == "x") - 0.75) < 1e-6
-    p = [(cells[c], r["probability"]) for c, r in got.items()]
-    assert all(0 <= x <= 1 for _, x in p) and abs(sum(n * x for n, x in p) - 0.6 * sum(cells.values())) < 0.01 * sum(cells.values())
-
-
 def test_mix_odd_rows(spark):
     rows = [(i, "a b c " * (i % 7), "en" if i % 3 else "de", "s1" if i % 2 else "s2") for i in range(300)] + [(400, None, None, None), (401, "", "en", None), (None, "x " * 50000, "fr", "s1"), (5, "dup", "en", "s1"), (5, "dup", "en", "s1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'clash' as weight", "1 as tokens")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'clash' as Weight", "1 as tokens")
     marginals = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr("coalesce(substring(text, 1, 1), 'none')")}
     got = mixing.mix(df, marginals, {"source": 0.5, "lang": 0.5, "topic": 0.0}, keep=0.02).collect()
     assert len(got) == len(rows) and {r["selected"] for r in got} == {True, False}
