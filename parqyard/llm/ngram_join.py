@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, as components and link counts.
 
-A document is the set of its hashed word n-grams. Equal sets form one class. All classes order their n-grams alike, by
+A document is the set of its hashed word n-grams. Equal sets form one class, and only one row of each class is indexed.
+All classes order their n-grams alike, by
 an estimated document frequency (counts in a table of fixed size, over all documents), then by hash. A class that
 needs m of its n n-grams to be shared (m = ceil(t n)) indexes its first n - m + L n-grams, and two classes can only link
 if they share at least the smaller L of the two among those. Each class picks its L by the estimated cost of candidates:
 a longer prefix is read more often but lets fewer coincidences through.
 
-Candidates are pairs from short posting lists that meet the count, and stars along long ones. The components of this
-candidate graph are cut into blocks; each pair of blocks of one component is verified exactly in one task, which emits
-link counts and a spanning forest instead of pairs. The forest's components are the result. No pair is dropped: long
-lists only make candidate groups wider.
+Where to look: pairs from short posting lists that meet the count, and stars along long ones, which are no pairs yet. The
+components of this graph are cut into blocks, and each pair of blocks of one component goes to one task. There every
+pair of classes is held to the count of shared prefix n-grams, whatever lists it came from, and what passes is verified
+by its whole sets; link counts and a spanning forest come out instead of pairs. The forest's components are the
+result. No pair is dropped: long lists only make the groups wider in which counts are taken.
 
 Edge cases: null or blank texts have no n-grams and link with nothing; texts with fewer words than n have one n-gram,
 the whole sequence. Rows with a null id are linked like others; an id of null is never a component's id unless all its
-rows have none. Repeated rows are members of one class. Empty tables give no rows; extra columns are ignored.
+rows have none. Repeated rows are members of one class. Invalid UTF-8 counts as U+FFFD. Empty tables give no rows; extra
+columns are ignored. Classes and rows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, shingles, small_batches, trim, word_hashes, write_table
+from .common import drop_table, identity, map_batches, shingles, small_batches, trim, values, word_hashes, write_table
 from .components import components
 
 _CHUNK = 14  # the frequency table travels in pieces of 2**14 counts
@@ -34,23 +37,33 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text, lower=True), n))
 
 
-def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Document counts of all n-grams, by the first `bits` bits of their hash."""
+def survey(rows: DataFrame, n: int, bits: int, kind: str) -> DataFrame:
+    """In one pass over rows (doc_id, rid, text), stored: of each row its number of n-grams and its class (chunk is null),
+    and of each task document counts of n-grams by the first `bits` bits of their hash, in pieces."""
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+    def look(batches):
+        import xxhash
+
+        total, fields = np.zeros(1 << bits, np.uint32), None
         for batch in batches:
-            part = []
-            for t in batch.column(0).to_pylist():
-                part.append(ngram_set(t, n) >> np.uint64(64 - bits))
-                if len(part) == 2000:
-                    total += np.bincount(np.concatenate(part).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                    part = []
-            if part:
-                total += np.bincount(np.concatenate(part).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            fields = batch.schema.field(0).type, batch.schema.field(1).type
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                sets = [ngram_set(t, n) for t in values(part.column(2))]
+                total += np.bincount(np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.uint64) >> np.uint64(64 - bits), minlength=1 << bits).astype(np.uint32)
+                own = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+                none = [None] * len(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "rid", "n", "cls", "chunk", "counts"])
         for i in range(0, 1 << bits, 1 << _CHUNK):
-            if total[i : i + (1 << _CHUNK)].any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "n": [total[i : i + (1 << _CHUNK)].tobytes()]})
+            piece = total[i : i + (1 << _CHUNK)]
+            if fields and piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([None], fields[0]), pa.array([None], fields[1]), pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["doc_id", "rid", "n", "cls", "chunk", "counts"])
+
+    return write_table(rows.select("doc_id", "rid", "text").mapInArrow(look, f"doc_id {kind}, rid string, n long, cls string, chunk int, counts binary"), "members")
+
+
+def frequencies(surveyed: DataFrame, bits: int) -> np.ndarray:
+    """The document counts of all tasks added up: as many numbers as the table has, whatever the data."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -59,11 +72,11 @@ def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
                 x = np.frombuffer(b, np.uint32)
                 held[i] = held[i] + x if i in held else x
         for i, x in held.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "n": [x.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": [x.tobytes()]})
 
     out = np.zeros(1 << bits, np.uint32)
-    for r in docs.select("text").mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary").collect():
-        out[r["chunk"] : r["chunk"] + (1 << _CHUNK)] = np.frombuffer(r["n"], np.uint32)
+    for r in surveyed.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"] : r["chunk"] + (1 << _CHUNK)] = np.frombuffer(r["counts"], np.uint32)
     return out
 
 
@@ -82,54 +95,52 @@ def prefix(grams: np.ndarray, freq: np.ndarray, bits: int, num: int, den: int, m
     return grams[order[: first + best]], best + 1
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, hot_gram: int = 1 << 17, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, rid) for each row: sets link when den * shared >= num * union.
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, hot_gram: int = 1 << 12, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, rid, label) for each row: sets link when den * shared >= num * union.
 
-    rid is xxhash64(doc_id, text). n_links counts the other rows that the row links with, copies included.
+    rid is identity(doc_id, text). n_links counts the other rows that the row links with, copies included. label is the
+    same for all rows of a component, also where ids are null or repeated, and null for rows without n-grams. The stored
+    tables that the result is read from are in its attribute `scratch`, for drop_table() once it has been used.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"))
-
-    def sign(b: dict) -> dict:
-        import xxhash
-
-        sets = [ngram_set(t, n) for t in b["text"]]
-        return {"doc_id": b["doc_id"], "rid": b["rid"], "n": [len(s) for s in sets], "cls": [None if not len(s) else xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]}
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    members = write_table(map_batches(rows, sign, f"doc_id {kind}, rid long, n long, cls long"), "members")
-    classes = write_table(members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("rid").alias("rid"), F.first("n").alias("n")), "classes")
-
-    freq = frequencies(rows, n, bits)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), identity(doc_id, text).alias("rid"))
+    surveyed = survey(rows, n, bits, docs.schema[doc_id].dataType.simpleString())
+    members = surveyed.filter("chunk is null").select("doc_id", "rid", "n", "cls")
+    classes = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("rid").alias("rid"), F.first("n").alias("n"))
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a class has its number once written
+    texts = rows.select("rid", "text").join(classes.select("rid", "node"), "rid").select("node", "text")  # one row of each class, or equal ones
+
+    freq = frequencies(surveyed, bits)
     load = float(freq.sum()) / (1 << bits)
     sent = spark.sparkContext.broadcast(freq)
 
-    def index(b: dict) -> dict:
-        import xxhash
+    def head_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The prefix of a set, without what no other has, its n-grams' counts, and its L."""
+        kept, level = prefix(s, sent.value, bits, num, den, most, load)
+        held = sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)]
+        return kept[held > 1], held[held > 1].astype(np.int64), level
 
+    def index(b: dict) -> dict:
         out: dict[str, list] = {"gram": [], "salt": [], "cls": [], "n": [], "matches": []}
-        for t in b["text"]:
+        for node, t in zip(b["node"], b["text"]):
             s = ngram_set(t, n)
-            if not len(s):
-                continue
-            kept, level = prefix(s, sent.value, bits, num, den, most, load)
-            held = sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)]
-            kept, held = kept[held > 1], held[held > 1].astype(np.int64)  # one holder: nothing to match
-            cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+            kept, held, level = head_of(s)
             out["gram"].append(kept.view(np.int64))
-            out["salt"].append(np.where(held > hot_gram + 4 * load, cls % (1 + held // (hot_gram // 2)), -1))
-            out["cls"].append(np.full(len(kept), cls, np.int64))
+            out["salt"].append(np.where(held > hot_gram + 4 * load, (node * 0x9E3779B1 & 0x7FFFFFFF) % (1 + held // (hot_gram // 2)), -1))
+            out["cls"].append(np.full(len(kept), node, np.int64))
             out["n"].append(np.full(len(kept), len(s), np.int32))
             out["matches"].append(np.full(len(kept), level, np.int16))
-        return {k: np.concatenate(v) for k, v in out.items()} if out["gram"] else None
+        return {k: np.concatenate(v) for k, v in out.items()}
 
-    postings = map_batches(rows.select("text"), index, "gram long, salt long, cls long, n int, matches short")
+    postings = map_batches(texts, index, "gram long, salt long, cls long, n int, matches short")
 
     def candidates(batches):
-        """Along each list in order of size: all pairs of a short one (with L), or stars (with 0) along a long one.
+        """Along each list in order of size: all pairs of a short one (with L), or stars (with 0) along a long one,
+        whose pairs are held to L when they are verified.
 
         A list dealt to several tasks becomes a star around a node that stands for the n-gram, whatever the sizes.
+        Classes have numbers from 0, such nodes negative ones.
         """
         a: list[int] = []
         b: list[int] = []
@@ -171,7 +182,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
                     close()
                     at, long, size = (g, d), False, 0
                 if d >= 0:
-                    a.append(g)
+                    a.append(g | -(1 << 63) if g >= 0 else g)
                     b.append(c)
                     m.append(0)
                     continue
@@ -197,30 +208,32 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     edges = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
     groups = components(edges)
 
-    info = groups.join(classes.select(F.col("cls").alias("node"), "n"), "node")
+    known = classes.select("node", "n", "rid", "size")
+    info = groups.join(known, "node")
     sizes = info.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     sizes = write_table(sizes.select("label", F.greatest(F.ceil(F.col("rows") / F.least(F.lit(block_most), F.greatest(F.lit(block_rows), F.col("rows") / 12))), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks")), "blocks")
-    placed = groups.join(sizes, "label").join(classes.withColumnRenamed("cls", "node"), "node")
-    placed = placed.select("rid", F.col("node").alias("cls"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "size")
+    placed = info.join(sizes, "label").select("rid", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "size")
 
     def gather(b: dict) -> dict:
-        return {c: b[c] for c in ("cls", "label", "blocks", "block", "size")} | {"grams": [ngram_set(t, n).tobytes() for t in b["text"]]}
+        sets = [ngram_set(t, n) for t in b["text"]]
+        heads = [head_of(s) for s in sets]
+        return {c: b[c] for c in ("node", "label", "blocks", "block", "size")} | {"level": [h[2] for h in heads], "head": [h[0].tobytes() for h in heads], "grams": [s.tobytes() for s in sets]}
 
-    texts = rows.select("rid", "text").join(placed, "rid").select("text", "cls", "label", "blocks", "block", "size")
-    sets = write_table(map_batches(texts, gather, "cls long, label long, blocks int, block int, size long, grams binary"), "sets")
-    dealt = sets.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "cls", "size", "grams")
-    dealt = dealt.select("label", "p.i", "p.j", "block", "cls", "size", "grams").repartitionByRange("label", "i", "j").sortWithinPartitions("label", "i", "j", "cls")
+    wanted = rows.select("rid", "text").join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
+    sets = write_table(map_batches(wanted, gather, "node long, label long, blocks int, block int, size long, level int, head binary, grams binary"), "sets")
+    dealt = sets.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "node", "size", "level", "head", "grams")
+    dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "level", "head", "grams").repartitionByRange("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
 
     def verify(batches):
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 if row[:3] != at:
                     if len(held) > 1:
                         yield from _verified(held, num, den)
                     at, held = row[:3], []
-                if not held or held[-1][4] != row[4]:
+                if not held or held[-1][4] != row[4]:  # equal rows count once
                     held.append(row)
         if len(held) > 1:
             yield from _verified(held, num, den)
@@ -232,20 +245,21 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     final = components(forest.select("a", "b"))
     for t in (groups, sizes, sets):
         drop_table(t)
-    ends = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "least", "size", F.coalesce("label", "cls").alias("label"))
+    ends = classes.join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("cls", "node", "least", "size", F.coalesce("label", "node").alias("label"))
     least = ends.groupBy("label").agg(F.min("least").alias("component_id"))
-    links = forest.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cls")
-    result = write_table(ends.join(least, "label").join(links, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "linked")
+    links = forest.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    result = ends.join(least, "label").join(links, "node", "left").select("cls", "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    result = write_table(result, "linked")
     for t in (final, forest, classes):
         drop_table(t)
     out = members.join(result, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rid")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rid", "label")
+    out.scratch = [surveyed, result]
+    return out
 
 
-def _verified(rows: list[tuple], num: int, den: int):
-    """Exact links between two blocks (or within one): for each class a smaller linked root and its number of links."""
-    block, cls, size = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-    sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+def _together(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share."""
     n = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), n)
     gram = np.concatenate(sets)
@@ -254,7 +268,7 @@ def _verified(rows: list[tuple], num: int, den: int):
     new = np.ones(len(gram), bool)
     new[1:] = gram[1:] != gram[:-1]
     which = np.cumsum(new) - 1
-    often = np.bincount(which)
+    often = np.bincount(which, minlength=1)
     keep = often[which] > 1
     which, doc = which[keep], doc[keep]
     which = np.searchsorted(np.unique(which), which)
@@ -265,20 +279,42 @@ def _verified(rows: list[tuple], num: int, den: int):
         part = np.zeros((len(sets), step), np.float32)
         part[doc[a:b], which[a:b] - lo] = 1
         shared += part @ part.T
-    both = shared.astype(np.int64)
-    linked = den * both >= num * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(linked, False)
+    return shared.astype(np.int64)
+
+
+def _verified(rows: list[tuple], num: int, den: int):
+    """Exact links between two blocks (or within one): for each class a smaller linked root and its number of links.
+
+    Pairs that share as many prefix n-grams as the smaller L of the two, and whose sizes allow a link, are verified.
+    """
+    block, node, size, level = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+    n = np.array([len(r[8]) // 8 for r in rows])
+    may = _together([np.frombuffer(r[7], np.uint64) for r in rows]) >= np.minimum(level[:, None], level[None, :])
+    may &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
+    np.fill_diagonal(may, False)
     if rows[0][1] != rows[0][2]:
-        linked &= block[:, None] != block[None, :]
+        may &= block[:, None] != block[None, :]
+    some = np.flatnonzero(may.any(1))
+    if not len(some):
+        return
+    block, node, size, n, may = block[some], node[some], size[some], n[some], may[np.ix_(some, some)]
+    sets = [np.frombuffer(rows[i][8], np.uint64) for i in some]
+    if may.sum() > 8 * len(some):
+        both = _together(sets)
+    else:  # few pairs: one by one
+        both = np.zeros((len(some), len(some)), np.int64)
+        for i, j in zip(*np.nonzero(np.triu(may))):
+            both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    linked = may & (den * both >= num * (n[:, None] + n[None, :] - both))
     links = linked.astype(np.int64) @ size
-    root = np.arange(len(sets))
-    linked |= np.eye(len(sets), dtype=bool)
+    root = np.arange(len(some))
+    linked |= np.eye(len(some), dtype=bool)
     while True:
-        low = np.where(linked, root[None, :], len(sets)).min(1)
+        low = np.where(linked, root[None, :], len(some)).min(1)
         low = low[low]
         if (low == root).all():
             break
         root = low
-    some = np.nonzero(links)[0]
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[root[some]]), pa.array(links[some])], names=["a", "b", "links"])
+    have = np.nonzero(links)[0]
+    if len(have):
+        yield pa.RecordBatch.from_arrays([pa.array(node[have]), pa.array(node[root[have]]), pa.array(links[have])], names=["a", "b", "links"])

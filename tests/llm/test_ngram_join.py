@@ -54,7 +54,23 @@ def test_against_all_pairs(spark, n, num, den, short, block, hot):
     rows = corpus(n)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as component_id", "1 as n", "2 as cls", "3 as rid")
     got = ngram_join.link(docs.repartition(5), n=n, num=num, den=den, bits=16, short=short, block_rows=block, hot_gram=hot)
-    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == brute(rows, n, num, den)
+    found = got.collect()
+    assert sorted((tuple(r)[:4] for r in found), key=str) == brute(rows, n, num, den)
+    by_label = {}
+    for r in found:
+        assert (r["label"] is None) == (r["n_shingles"] == 0)
+        if r["label"] is not None:
+            by_label.setdefault(r["label"], set()).add(r["component_id"])
+    assert all(len(ids) == 1 for ids in by_label.values()) and len(by_label) >= len({r["component_id"] for r in found if r["label"] is not None})
+
+
+def test_every_list_is_held_to_its_count():
+    """Without enough shared prefix n-grams nothing is verified, whatever brought two classes together."""
+    a, b = np.arange(100, dtype=np.uint64), np.arange(100, dtype=np.uint64)
+    row = lambda k, s, head, level: (0, 0, 0, 0, k, 1, level, head.tobytes(), s.tobytes())
+    assert list(ngram_join._verified([row(1, a, a[:3], 3), row(2, b, b[1:4], 3)], 9, 10)) == []
+    (got,) = ngram_join._verified([row(1, a, a[:3], 2), row(2, b, b[1:4], 3)], 9, 10)
+    assert got.to_pydict() == {"a": [1, 2], "b": [1, 1], "links": [1, 1]}
 
 
 def test_no_rows(spark):
