@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +27,25 @@ def _measures(name: str, t: T.DataType) -> list[Column]:
 
 def column_statistics(df: DataFrame) -> DataFrame:
     """One row for each plain column: column, n, nulls, distinct, min and max (as strings)."""
-    names = [f.name for f in df.schema.fields if _plain(f.dataType)]
-    parts = []
-    for n in names:
-        c = F.col(f"`{n}`")
-        parts.append(F.struct(F.lit(n).alias("column"), F.count("*").alias("n"), F.count_if(c.isNull()).alias("nulls"), F.count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max")))
-    return df.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    measures = {"n": total, "nulls": F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)), "distinct": F.count("v"), "min": F.min("v").cast("string"), "max": F.max("v").cast("string")}
+    return by_value(df, lambda t: measures)
+
+
+def by_value(df: DataFrame, measures: Callable[[T.DataType], dict[str, Column]]) -> DataFrame:
+    """For each plain column its name and the measures, aggregates over its distinct values `v` and their counts `n`.
+
+    Each column is counted by itself, reading nothing else, so no row is expanded once per column.
+    """
+    out = None
+    for f in df.schema.fields:
+        if _plain(f.dataType):
+            counts = df.groupBy(F.col(f"`{f.name}`").alias("v")).agg(F.count("*").alias("n"))
+            one = counts.agg(*[m.alias(k) for k, m in measures(f.dataType).items()]).select(F.lit(f.name).alias("column"), *measures(f.dataType))
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no plain columns")
+    return out
 
 
 def block_statistics(df: DataFrame, row: Column, rows: int = 1000) -> DataFrame:

@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import decode
+from ..functions import decode, formatting
 from ..functions.statistics import block_statistics, column_statistics, file_sizes, footer_statistics, row_group_sizes
 from ..operators.predicates import Predicate, all_of, any_of, contains, custom, eq, gt, gte, is_not_null, is_null, lt, lte, named, neq, prefix, suffix
 from ..operators.query import Table
 from ..sources import sink
 from ..sources.footer import footer, list_files
-from ..sources.table import has_magic, read, row_group
+from ..sources.table import has_magic, read, row_groups
 from ..streaming.filters import matching
 from ..types import F32, F64, I32, I64, Bool, Str
-from .report import Inspector, export_json, json_rows, profile
+from .report import HEADINGS, Inspector, export_json, json_rows, profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -169,14 +169,12 @@ def map_from_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("decode_map", "select p_partkey, upper(p_brand) as brand, upper(p_size::varchar) as size from part")
 def decode_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _maps(spark, sf_dir)
-    return rows.select("p_partkey", F.transform_values("m", lambda _, v: F.upper(v)).alias("m")).select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["size"].alias("size"))
+    return decode.decode_map(_maps(spark, sf_dir), "m", value=F.upper, keep=["p_partkey"]).select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["size"].alias("size"))
 
 
 @_query("decode_list", "select l_orderkey, l_linenumber + 1 as a, nullif(l_quantity::int, 7) + 1 as b from lineitem")
 def decode_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _float_list(spark, sf_dir)
-    return rows.select("l_orderkey", F.transform("xs", lambda x: x + 1).alias("xs")).select("l_orderkey", F.col("xs")[0].alias("a"), F.col("xs")[1].alias("b"))
+    return decode.decode_list(_float_list(spark, sf_dir), "xs", lambda x: x + 1, keep=["l_orderkey"]).select("l_orderkey", F.col("xs")[0].alias("a"), F.col("xs")[1].alias("b"))
 
 
 @_query("assemble_struct", "select s_suppkey, s_name as nm, s_acctbal as bal from supplier")
@@ -210,7 +208,8 @@ def matches_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("limit_head", "select c_custkey, c_name from customer order by c_custkey limit 10")
 def limit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Table.open(spark, f"{sf_dir}/customer.parquet").df.orderBy("c_custkey").limit(10).select("c_custkey", "c_name")
+    """The first rows of the file, which has them by key."""
+    return Table.open(spark, f"{sf_dir}/customer.parquet", order=True).limit(10).df.select("c_custkey", "c_name")
 
 
 @_query("select_pruned", "select l_orderkey, l_tax from lineitem where l_tax > 0.07::double")
@@ -231,14 +230,78 @@ def typed_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("typed_decode_float", "select vec_id, embedding[1] as x from embeddings")
 def typed_decode_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Table.open(spark, f"{sf_dir}/embeddings.parquet").df.select("vec_id", F.col("embedding")[0].alias("x"))
+    rows = Table.open(spark, f"{sf_dir}/embeddings.parquet").df.select("vec_id", F.col("embedding")[0].alias("x"))
+    return decode.decode_float(rows, "x", keep=["vec_id"])
+
+
+@_query("typed_decode_floats", "select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as place from embeddings")
+def typed_decode_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of every vector."""
+    rows = Table.open(spark, f"{sf_dir}/embeddings.parquet").df.select("vec_id", F.posexplode("embedding").alias("place", "x"))
+    return decode.decode_float(rows.withColumn("place", (F.col("place") + 1).cast("long")), "x", keep=["vec_id", "place"])
 
 
 @_query("typed_decode_boolean", "select l_orderkey, l_linenumber, l_tax > 0.04::double as high from lineitem")
 def typed_decode_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_tax") > 0.04).alias("high"))
-    decode.decode_boolean(rows, "high")
-    return rows
+    """A boolean that is stored: bit-packed, as pages of version 1 have it."""
+    return decode.decode_boolean(_stored_boolean(spark, sf_dir).df, "high", keep=["l_orderkey", "l_linenumber"])
+
+
+def _stored_boolean(spark: SparkSession, sf_dir: str, v2: bool = False) -> Table:
+    path = _scratch(spark)
+    sink.write(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_tax") > 0.04).alias("high")), path, v2=v2)
+    return Table.open(spark, path)
+
+
+@_query("stored_boolean_rle", "select l_orderkey, l_linenumber, l_tax > 0.04::double as high from lineitem")
+def stored_boolean_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boolean in runs, as pages of version 2 have it."""
+    return decode.decode_boolean(_stored_boolean(spark, sf_dir, v2=True).df, "high", keep=["l_orderkey", "l_linenumber"])
+
+
+@_query("eq_any_boolean", "select l_orderkey, l_linenumber from lineitem where l_tax > 0.04::double")
+def eq_any_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_boolean(spark, sf_dir).filter(eq(Bool(True))).df.select("l_orderkey", "l_linenumber")
+
+
+@_query("byte_stream_split", "select n_nationkey, n_nationkey / 4.0::double as quarter, (n_regionkey / 2.0)::float as half from nation")
+def byte_stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles and floats in the encoding that Spark can't write: the 25 nations, by another writer, in two files."""
+    import tempfile
+
+    import pyarrow.parquet as pq
+
+    to = _scratch(spark)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(to)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey", "n_nationkey / 4D as quarter", "cast(n_regionkey / 2 as float) as half").orderBy("n_nationkey").toArrow()
+    with tempfile.TemporaryDirectory() as own:
+        for name, part, kinds in (("a", rows.slice(0, 10), {}), ("b", rows.slice(10), {"quarter": "BYTE_STREAM_SPLIT", "half": "BYTE_STREAM_SPLIT"})):
+            pq.write_table(part, f"{own}/{name}.parquet", use_dictionary=False, column_encoding=kinds or None)
+            fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file:{own}/{name}.parquet"), at)
+    return Table.open(spark, to).df
+
+
+@_query("delta_length_byte_array", "select n_nationkey, n_name from nation")
+def delta_length_byte_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings by their lengths and bytes apart, in pages of either version, as another writer puts them."""
+    import tempfile
+
+    import pyarrow.parquet as pq
+
+    to = _scratch(spark)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(to)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").toArrow()
+    with tempfile.TemporaryDirectory() as own:
+        for name, part, pages in (("a", rows.slice(0, 10), "1.0"), ("b", rows.slice(10), "2.0")):
+            pq.write_table(part, f"{own}/{name}.parquet", use_dictionary=False, column_encoding={"n_name": "DELTA_LENGTH_BYTE_ARRAY", "n_nationkey": "DELTA_BINARY_PACKED"}, data_page_version=pages)
+            fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file:{own}/{name}.parquet"), at)
+    return Table.open(spark, to).df
 
 
 @_query("eq_f32_list", "select vec_id from embeddings where list_contains(embedding, (select embedding[1] from embeddings where vec_id = 3))")
@@ -265,13 +328,8 @@ def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("row_group_scan", "select c_custkey, c_name from customer")
 def row_group_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row groups of each file one by one, which together are the table."""
-    path = f"{sf_dir}/customer.parquet"
-    out = read(spark, path)[0].limit(0)
-    for file in list_files(spark, path):
-        for i in range(footer(spark, file, "files").first()["num_row_groups"]):
-            out = out.unionByName(row_group(spark, file, i))
-    return out.select("c_custkey", "c_name")
+    """The row groups of all files, which together are the table."""
+    return row_groups(spark, f"{sf_dir}/customer.parquet").filter("row_group >= 0").select("c_custkey", "c_name")
 
 
 # footers and statistics
@@ -285,14 +343,31 @@ def footer_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footer(spark, f"{sf_dir}/lineitem.parquet", "row_groups").agg(F.sum("num_rows").alias("n"))
 
 
-@_query("footer_chunks")
-def footer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return footer(spark, f"{sf_dir}/lineitem.parquet", "column_chunks").select("row_group", "column", "path", "type", "codec", "num_values", "total_compressed_size", "total_uncompressed_size", "null_count")
+_CHUNKS = {"o_orderkey": "INT64", "o_custkey": "INT64", "o_orderstatus": "BYTE_ARRAY", "o_totalprice": "DOUBLE", "o_orderdate": "INT64", "o_orderpriority": "BYTE_ARRAY"}
 
 
-@_query("row_group_ratios")
+@_query("footer_chunks", "\nunion all\n".join(f"select {i} as \"column\", '{c}' as path, '{t}' as type, count(*) as num_values, count(*) - count({c}) as null_count, true as sized, min({c})::varchar as low, max({c})::varchar as high from orders" if t != "DOUBLE" and c != "o_orderdate" else f"select {i}, '{c}', '{t}', count(*), count(*) - count({c}), true, null, null from orders" for i, (c, t) in enumerate(_CHUNKS.items())))
+def footer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column chunks of all row groups: values, nulls, recorded bounds of longs and strings, and whether their sizes make sense."""
+    chunks = footer(spark, f"{sf_dir}/orders.parquet", "column_chunks")
+    from_long = lambda c: F.conv(F.concat(*[F.hex(F.substring(c, i, 1)) for i in range(8, 0, -1)]), 16, -10).cast("long")
+    by = chunks.groupBy("column", "path", "type")
+    long, text = F.col("type") == "INT64", F.col("type") == "BYTE_ARRAY"
+    got = by.agg(
+        F.sum("num_values").alias("num_values"), F.sum("null_count").alias("null_count"), F.min((F.col("total_compressed_size") > 0) & (F.col("total_uncompressed_size") > 0) & (F.col("data_page_offset") >= 4)).alias("sized"),
+        F.min(F.when(long, from_long(F.col("min")))).alias("low_n"), F.max(F.when(long, from_long(F.col("max")))).alias("high_n"), F.min(F.when(text, F.col("min").cast("string"))).alias("low_s"), F.max(F.when(text, F.col("max").cast("string"))).alias("high_s"),
+    )
+    shown = F.col("path") != "o_orderdate"
+    return got.select("column", "path", "type", "num_values", "null_count", "sized", F.when(shown, F.coalesce(F.col("low_n").cast("string"), "low_s")).alias("low"), F.when(shown, F.coalesce(F.col("high_n").cast("string"), "high_s")).alias("high"))
+
+
+@_query("row_group_ratios", "select count(*) as rows, 10 + 1 as columns, true as consistent from lineitem")
 def row_group_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_group_sizes(spark, f"{sf_dir}/lineitem.parquet").select("row_group", "columns", "uncompressed", "compressed", "ratio")
+    """Rows of all row groups, columns of each, and whether every ratio is that of its bytes."""
+    sizes = row_group_sizes(spark, f"{sf_dir}/lineitem.parquet")
+    groups = footer(spark, f"{sf_dir}/lineitem.parquet", "row_groups").select("file", "row_group", "num_rows")
+    fits = (F.abs(F.col("ratio") * F.col("compressed") - F.col("uncompressed")) < 1) & (F.col("compressed") > 0)
+    return sizes.join(groups, ["file", "row_group"]).agg(F.sum("num_rows").alias("rows"), F.max("columns").cast("int").alias("columns"), F.min(fits).alias("consistent"))
 
 
 @_query("footer_null_counts", "select column_name as path, count(*) as total_values, 0::bigint as null_count, count(*) as non_null_count from (unpivot (select n_nationkey::varchar as n_nationkey, n_name, n_regionkey::varchar as n_regionkey from nation) on n_nationkey, n_name, n_regionkey into name column_name value v) group by 1")
@@ -321,7 +396,10 @@ def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # writing, JSON, streams
 def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:/tmp/checkpoints'}/round-trip-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or 'file:/tmp/checkpoints'}/round-trip-{uuid.uuid4().hex}"
 
 
 for _codec in sink.CODECS:
@@ -367,6 +445,15 @@ def write_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table.open(spark, path).df.select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["size"].alias("size"))
 
 
+@_query("gzip_map_scan", "select o_orderkey, o_orderstatus as status, o_orderpriority as priority from orders")
+def gzip_map_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each order, written with GZIP and read back whole."""
+    path = _scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("m"))
+    sink.write(rows, path, "GZIP")
+    return Table.open(spark, path).df.select("o_orderkey", F.col("m")["status"].alias("status"), F.col("m")["priority"].alias("priority"))
+
+
 @_query("write_rows", "select * from region")
 def write_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written one at a time."""
@@ -411,6 +498,66 @@ def inspect_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["values"]["n_nationkey"], r["values"]["n_name"]) for r in rows], "n_nationkey int, n_name string")
 
 
+@_query("report_text", "select * from (values (0, 'PARQUET FILE INSPECTION'), (1, 'FILE INFORMATION'), (2, 'SCHEMA STRUCTURE'), (3, 'ROW GROUPS'), (4, 'COLUMN CHUNK DETAILS (First Row Group)'), (5, 'DATA SAMPLING'), (6, 'STATISTICS SUMMARY')) as t(place, heading)")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings of the text report and its summary, in order."""
+    it = Inspector(spark, f"{sf_dir}/nation.parquet")
+    lines = f"{it.as_text()}\n{it.summary()}".split("\n")
+    return spark.createDataFrame(list(enumerate(x for x in lines if x in HEADINGS)), "place int, heading string")
+
+
+@_query("metadata_text", "select 'Total rows: ' || count(*) as line from nation union all select '    Column ' || i || ' (' || n || '): ' || t || ', values=' || (select count(*) from nation) from (values (0, 'n_nationkey', 'INT32'), (1, 'n_name', 'BYTE_ARRAY'), (2, 'n_regionkey', 'INT32')) as c(i, n, t)")
+def metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the printed metadata: the number of rows and the chunks, without their codec."""
+    lines = Inspector(spark, f"{sf_dir}/nation.parquet").metadata_text().split("\n")
+    chosen = [x.replace(x[x.index(" codec=") : x.index(" values=")], "") if "codec=" in x else x for x in lines if x.startswith(("Total rows", "    Column"))]
+    return spark.createDataFrame([(x,) for x in chosen], "line string")
+
+
+@_query("inspect_row_groups", "select count(*) as rows, true as ratios from customer")
+def inspect_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = Inspector(spark, f"{sf_dir}/customer.parquet").row_group_info()
+    rows = sum(g["numRows"] for g in groups["groups"])
+    good = groups["count"] == len(groups["groups"]) and all(abs(g["compressionRatio"] * g["compressedSize"] - g["uncompressedSize"]) < 1 for g in groups["groups"])
+    return spark.createDataFrame([(rows, good)], "rows long, ratios boolean")
+
+
+@_query("inspect_statistics", "select count(*) as rows, true as consistent from customer")
+def inspect_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Inspector(spark, f"{sf_dir}/customer.parquet").statistics()
+    good = s["bytesSaved"] == s["totalUncompressedSize"] - s["totalCompressedSize"] and abs(s["averageRowSize"] * s["totalRows"] - s["totalFileSize"]) < 1
+    return spark.createDataFrame([(s["totalRows"], good)], "rows long, consistent boolean")
+
+
+@_query("format_values", "select n_nationkey::varchar as key, n_name as name from nation")
+def format_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as the report shows them."""
+    rows = Table.open(spark, f"{sf_dir}/nation.parquet").df.select("n_nationkey", "n_name").collect()  # 25 nations
+    return spark.createDataFrame([(formatting.value(k), formatting.value(n).strip('"')) for k, n in rows], "key string, name string")
+
+
+@_query("tail_rows", "select c_custkey, c_name from customer order by c_custkey desc limit 5")
+def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Table.open(spark, f"{sf_dir}/customer.parquet", order=True).tail(5).df.select("c_custkey", "c_name")
+
+
+@_query("iterate_rows", "select r_regionkey, r_name from region")
+def iterate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows one by one, with a look ahead, by name and by type."""
+    rows, out = Table.open(spark, f"{sf_dir}/region.parquet").rows(), []
+    while rows.has_next():
+        row = next(rows)
+        out.append((row.get("r_regionkey", "INT32"), row["r_name"]))
+    return spark.createDataFrame(out, "r_regionkey int, r_name string")
+
+
+@_query("footer_sizes", "select count(*) as rows, true as consistent from orders")
+def footer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = file_sizes(spark, f"{sf_dir}/orders.parquet")
+    fits = (F.col("saved") == F.col("uncompressed") - F.col("compressed")) & (F.abs(F.col("mean_row") * F.col("rows") - F.col("bytes")) < 1) & (F.abs(F.col("ratio") * F.col("compressed") - F.col("uncompressed")) < 1)
+    return sizes.agg(F.sum("rows").alias("rows"), F.min(fits).alias("consistent"))
+
+
 @_query("json_metadata", "select count(*) as n, max(n_name) as top from nation")
 def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row count and a recorded bound, as the JSON export has them."""

@@ -7,10 +7,11 @@ from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import types as P
 from ..functions import formatting
-from ..functions.statistics import file_sizes
+from ..functions.statistics import by_value, file_sizes
 from ..operators.query import Table
 from ..sources.footer import footer, list_files
 
@@ -227,13 +228,11 @@ def sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """For each plain column: values, nulls, distinct values, bounds, and the mean of numbers."""
-    from pyspark.sql import types as T
-
-    parts = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)):
-            continue
-        c = F.col(f"`{f.name}`")
-        mean = F.avg(c) if isinstance(f.dataType, T.NumericType) else F.lit(None)
-        parts.append(F.struct(F.lit(f.name).alias("column"), F.count(c).alias("values"), F.count_if(c.isNull()).alias("nulls"), F.count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"), mean.cast("double").alias("mean")))
-    return df.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+
+    def measures(t: T.DataType) -> dict:
+        v, n = F.col("v"), F.col("n")
+        held, none = F.sum(F.when(v.isNotNull(), n)), F.sum(F.when(v.isNull(), n))
+        mean = F.sum(v * n) / held if isinstance(t, T.NumericType) else F.lit(None)
+        return {"values": F.coalesce(held, F.lit(0)), "nulls": F.coalesce(none, F.lit(0)), "distinct": F.count(v), "min": F.min(v).cast("string"), "max": F.max(v).cast("string"), "mean": mean.cast("double")}
+
+    return by_value(df, measures)

@@ -8,6 +8,7 @@ footers are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -52,15 +53,43 @@ class FooterSource(DataSource):
         return _Reader(self.options.get("table", "files"), self.options["files"].split("\n"))
 
 
+def is_local(path: str) -> bool:
+    """Whether a Python worker can open the path by itself."""
+    return path.startswith(("file:", "/")) or ":" not in path.split("/", 1)[0]
+
+
 def _open(path: str):
-    import pyarrow.fs as fs
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
-    store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path.removeprefix("file:").lstrip("/"))
-    source = store.open_input_file(at)
+    source = pa.OSFile("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
     return pq.ParquetFile(source), source.size()
 
 
+def tail(spark: SparkSession, path: str) -> tuple[int, bytes]:
+    """A file's size and its footer with the marker behind it, read through Hadoop's FileSystem, whatever the store."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(p).getLen()
+    if size < 12:
+        raise ValueError(f"{path} is too small for a Parquet file")
+    stream = fs.open(p)
+    try:
+
+        def read(n: int) -> bytes:
+            stream.seek(size - n)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+        end = read(8)
+        length = int.from_bytes(end[:4], "little")
+        if end[4:] != b"PAR1" or length + 12 > size:
+            raise ValueError(f"{path} has no Parquet footer")
+        return size, read(length + 8)
+    finally:
+        stream.close()
+
+
 def _raw(kind: str, value) -> bytes | None:
     """A statistic in the format's own bytes: plain little-endian numbers, or the bytes themselves."""
     import struct
@@ -74,8 +103,15 @@ def _raw(kind: str, value) -> bytes | None:
     return struct.pack({"INT32": "<i", "INT64": "<q", "FLOAT": "<f", "DOUBLE": "<d", "BOOLEAN": "<?"}[kind], value)
 
 
-def _rows(table: str, path: str) -> Iterator[tuple]:
-    file, size = _open(path)
+def _rows(table: str, path: str, size: int | None = None, end: bytes | None = None) -> Iterator[tuple]:
+    """The rows of one file, which is opened here unless its size and tail are given."""
+    if end is None:
+        file, size = _open(path)
+    else:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        file = pq.ParquetFile(pa.BufferReader(b"PAR1" + end))
     meta = file.metadata
     if table == "files":
         kv = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in (meta.metadata or {}).items()}
@@ -117,7 +153,9 @@ def list_files(spark: SparkSession, path: str, most: int | None = None) -> list[
 def footer(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
     """One of the tables of SCHEMAS for a file or a folder of files.
 
-    Spark lists the files and deals them to tasks, which read nothing but footers: neither paths nor rows pass the driver.
+    Where files are local paths to the workers, Spark lists them and deals them to tasks, which read nothing but
+    footers: neither paths nor rows pass the driver. In any other store (hdfs, s3a, viewfs ...), which only the JVM can
+    open, the driver's threads read the tails through Hadoop's FileSystem and tasks take them apart.
     """
     if table not in SCHEMAS:
         raise ValueError(f"no footer table {table!r}")
@@ -129,12 +167,18 @@ def footer(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for file in batch.column(0).to_pylist():
-                rows = list(_rows(table, file))
+            for file in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                rows = list(_rows(table, *file))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    if is_local(next(iter(list_files(spark, path, most=1)), path)):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    else:
+        paths = list_files(spark, path)
+        with ThreadPoolExecutor(32) as pool:
+            tails = list(pool.map(lambda f: (f, *tail(spark, f)), paths))
+        files = spark.createDataFrame(tails, "path string, size long, tail binary")
     return files.mapInArrow(read, SCHEMAS[table])
 
 
@@ -143,8 +187,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FooterSource)
 
 
-def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], set[str]]:
-    """The schema's name, the leaves and the encodings in use of one file, read by Spark's own Parquet library."""
+def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], bool]:
+    """The schema's name and the leaves of one file, and whether it uses BYTE_STREAM_SPLIT; by Spark's own Parquet library."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
@@ -160,8 +204,8 @@ def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], set[str]]:
             unsigned = note is not None and note.toString().startswith("INTEGER(") and note.toString().endswith("false)")
             wide = unsigned and note.toString().startswith(("INTEGER(32", "INTEGER(64"))
             out.append(Leaf(tuple(c.getPath()), name, c.getMaxDefinitionLevel(), c.getMaxRepetitionLevel(), kind.getTypeLength(), wide))
-        blocks = meta.getBlocks()
-        used = {e.toString() for c in (blocks.get(0).getColumns() if blocks.size() else ()) for e in c.getEncodings()}
-        return message.getName(), out, used
+        numeric = any(x.kind in ("INT32", "INT64", "FLOAT", "DOUBLE", "FIXED_LEN_BYTE_ARRAY") for x in out)
+        split = numeric and any("BYTE_STREAM_SPLIT" in c.getEncodings().toString() for b in meta.getBlocks() for c in b.getColumns())
+        return message.getName(), out, split
     finally:
         reader.close()

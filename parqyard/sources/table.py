@@ -18,16 +18,18 @@ def read(spark: SparkSession, path: str, view: str = "physical", order: bool = F
     """The table as a DataFrame and its columns.
 
     The physical view shows stored values: timestamps, dates and decimals as the integers they are kept in, byte arrays
-    as UTF-8 strings, structs as dotted columns. With `order`, `_file` and `_row` tell the place of each row. A file that
-    uses BYTE_STREAM_SPLIT is read in a session of its own without the vectorised reader, which lacks it.
+    as UTF-8 strings, structs as dotted columns. With `order`, `_file` and `_row` tell the place of each row. A table of which
+    any row group uses BYTE_STREAM_SPLIT is read in a session of its own without the vectorised reader, which lacks it.
     """
     if view not in ("physical", "logical"):
         raise ValueError(f"no view {view!r}")
-    files = list_files(spark, path, most=1)
+    files = list_files(spark, path, most=2)
     if not files:
         raise FileNotFoundError(f"no data files at {path}")
-    name, found, encodings = leaves(spark, files[0])
-    if "BYTE_STREAM_SPLIT" in encodings:
+    name, found, split = leaves(spark, files[0])
+    if not split and len(files) > 1:  # any other file may have it
+        split = not footer(spark, path, "column_chunks").filter("array_contains(encodings, 'BYTE_STREAM_SPLIT')").isEmpty()
+    if split:
         spark = spark.newSession()
         spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
     inferred = spark.read.parquet(path)
@@ -38,6 +40,17 @@ def read(spark: SparkSession, path: str, view: str = "physical", order: bool = F
     return spark.read.schema(shape).parquet(path).select(*columns, *place), schema
 
 
+def row_groups(spark: SparkSession, path: str, view: str = "physical") -> DataFrame:
+    """The rows of a table with `row_group`, their group's number within its file: one scan, joined with the footers."""
+    df, _ = read(spark, path, view, order=True)
+    groups = footer(spark, path, "row_groups").select(F.col("file").alias("_of"), "row_group", "first_row", (F.col("first_row") + F.col("num_rows")).alias("_end"))
+    name = lambda c: F.regexp_replace(c, "^file:/*", "file:/")
+    # a file's groups as one row: each row then finds its own by an equi-join
+    groups = groups.groupBy(name(F.col("_of")).alias("_of")).agg(F.collect_list(F.struct("row_group", "first_row", "_end")).alias("_groups"))
+    own = F.filter("_groups", lambda g: (F.col(ORDER[1]) >= g["first_row"]) & (F.col(ORDER[1]) < g["_end"]))[0]["row_group"]
+    return df.join(groups, name(F.col(ORDER[0])) == F.col("_of")).withColumn("row_group", own).drop("_of", "_groups", *ORDER)
+
+
 def row_group(spark: SparkSession, path: str, index: int, view: str = "physical") -> DataFrame:
     """The rows of one row group of a single file; IndexError if there is none."""
     groups = footer(spark, path, "row_groups").filter(F.col("row_group") == index).select("first_row", "num_rows").collect()

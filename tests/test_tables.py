@@ -199,3 +199,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from kept").collect()] == [(5, "b")]
+
+
+def test_footers_in_any_store(spark, tmp_path):
+    """A store that only the JVM can open has the same footers as the files themselves."""
+    from parqyard.sources.footer import SCHEMAS, footer, tail
+
+    spark.range(2500).selectExpr("id", "cast(id as string) as s").repartition(3).write.parquet(str(tmp_path / "t"))
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}")
+    for table in SCHEMAS:
+        own, far = (footer(spark, p, table).drop("file", "key_values") for p in (str(tmp_path / "t"), "viewfs://kept/in/t"))
+        assert sorted(own.collect(), key=str) == sorted(far.collect(), key=str) and own.count() > 0
+    assert Table.open(spark, "viewfs://kept/in/t").total_rows() == 2500
+    (tmp_path / "bad").write_bytes(b"PAR1 but no footer here")
+    with pytest.raises(ValueError, match="no Parquet footer"):
+        tail(spark, f"file:{tmp_path}/bad")
+
+
+def test_row_groups_of_all_files(spark, tmp_path):
+    from parqyard.sources.table import row_groups
+
+    spark.range(2500).repartition(2).write.option("parquet.block.row.count.limit", "300").parquet(str(tmp_path / "t"))
+    got = row_groups(spark, str(tmp_path / "t"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(2500))
+    assert {r["row_group"]: r["n"] for r in got.groupBy("row_group").count().withColumnRenamed("count", "n").collect()}[0] == 600
+
+
+def test_equal_keys_of_long_maps(spark):
+    """Of equal keys the last counts; without any, a long map takes linear time."""
+    df = spark.range(1).selectExpr("map_from_arrays(sequence(1, 20000), sequence(1, 20000)) as m", "map('a', 1, 'A', 2) as n", "id as k")
+    assert decode.decode_map(df, "m", value=lambda v: v + 1).selectExpr("size(m) as n", "m[7] as x").first() == (20000, 8)
+    assert decode.decode_map(df, "n", key=F.upper, keep=["k"]).first().asDict() == {"k": 0, "n": {"A": 2}}
