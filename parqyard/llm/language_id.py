@@ -6,7 +6,8 @@ profile, of the difference of ranks, or `size` where the language lacks the n-gr
 
 Edge cases: null texts and texts without a letter give `und` and score 0. Ties of counts go to the smaller n-gram code,
 ties of distance to the language that sorts first. Repeated rows are scored each; empty tables give no rows; without
-any training row every text is `und`. Extra columns of the input are ignored.
+any training row every text is `und`. Invalid UTF-8 counts as U+FFFD. Extra columns are kept; those named as the ones
+added here are replaced.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import drop_table, map_batches, write_table
+from .common import drop_table, map_batches, rest, write_table
 
 #: Letters that are counted at once.
 STRETCH = 1 << 20
@@ -101,12 +103,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         return {"l": langs, "code": np.concatenate(codes), "n": np.concatenate(counts)} if codes else {}
 
     counted = write_table(map_batches(rows.select("l", "t"), count, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")), "ngrams")
-    out = {}
-    for (name,) in sorted(tuple(r) for r in counted.select("l").distinct().collect()):
-        top = counted.filter(F.col("l") == name).orderBy(F.desc("n"), "code").limit(size).collect()
-        out[name] = np.array([r["code"] for r in top], np.int64)
+    # the first `size` of every language at once; Spark cuts each task's rows to that many before it exchanges them
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "code"))
+    out: dict[str, list[int]] = {}
+    for r in counted.withColumn("rank", rank).filter(F.col("rank") <= size).orderBy("l", "rank").select("l", "code").collect():
+        out.setdefault(r["l"], []).append(r["code"])
     drop_table(counted)
-    return out
+    return {name: np.array(codes, np.int64) for name, codes in out.items()}
 
 
 class Profiles:
@@ -142,7 +145,7 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", max_n: int = 3, size: int = 300) -> DataFrame:
     """docs with lang_pred and lang_score, from the whole text alone."""
     model = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, max_n, size))
-    keep = [c for c in docs.columns if c != text]
+    keep = rest(docs, text, "lang_pred", "lang_score")
 
     def score(batch: dict) -> dict:
         got = [model.value.predict(t) for t in batch[text]]

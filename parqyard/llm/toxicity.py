@@ -1,11 +1,19 @@
 """Toxicity by a character n-gram linear classifier over naive Bayes log-count ratios.
 
-Features are the distinct hashed byte n-grams of the lower-cased text. Each is scaled by the log ratio of its smoothed
-document counts in toxic and other training texts; an L2 logistic regression over the scaled features gives the score.
+Features are the distinct n-grams of 4, 6 and 8 characters (code points) of the lower-cased text, white space being one
+kind of character, hashed to 2**22 slots. Each is scaled by the log ratio of its smoothed document counts in toxic and
+other training texts; an L2 logistic regression over the scaled features gives the score.
+
+What is fitted is bounded, what is scored is not: `train` takes about `max_rows` labelled rows, chosen by hash of their
+key, and at most `features` n-grams, those that at least LEAST training texts have and whose shares among toxic and other
+texts differ most, by a z-score of at least 4 (the 256 best whatever their score). Texts of one label count once if the
+SKETCH least hashes of their n-grams agree: copies and near copies. In texts of many MB, whose n-grams fill most slots, these hashes
+agree by chance too, so texts of over WIDE different n-grams are told apart by all their n-grams.
 
 Edge cases: null and empty texts have no features and get the score of the intercept. Rows without a label, or with a
 null key, are not learned from but are scored. Without training rows of both kinds the score is the share of toxic rows
-(0 if there are none). Copies and near copies of a training text count once per label; all rows are scored. Extra columns of the input are ignored.
+(0 if there are none). Repeated rows are scored alike. Invalid UTF-8 counts as U+FFFD. Extra columns of training rows are
+ignored; those of scored rows are kept, but for one named as the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, small_batches, trim, write_table
+from .common import drop_table, map_batches, rest, small_batches, trim, values, write_table
 
 SIZES = (4, 6, 8)
 BITS = 22
@@ -26,22 +35,32 @@ BITS = 22
 LEAST = 4
 #: Slots whose counts travel together.
 PIECE = 1 << 14
-#: Bytes of a text that are hashed at once.
+#: Characters of a text that are hashed at once.
 STRETCH = 1 << 20
+#: Least hashes by which training texts are taken for copies, up to WIDE different n-grams.
+SKETCH, WIDE = 6, 1 << 20
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two runs from theirs."""
+    x = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    return x
 
 
 def hashed(text: str | None) -> Iterator[np.ndarray]:
-    """The hashed byte n-grams of the padded, lower-cased text, with repeats, a stretch of the text at a time."""
+    """The hashed character n-grams of the padded, lower-cased text, with repeats, a stretch of the text at a time."""
     if not text:
         return
-    whole = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    whole = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     for at in range(0, len(whole), STRETCH):
-        b = whole[at : at + STRETCH + max(SIZES) - 1].astype(np.uint32)
+        b = whole[at : at + STRETCH + max(SIZES) - 1].copy()
         b[(b >= 9) & (b <= 13)] = 32
         width, runs = 1, {1: b + np.uint32(1)}
-        while width * 2 <= min(len(b), max(SIZES)):  # hashes of runs of 2, 4, 8 ... bytes, each from two halves
+        while width * 2 <= min(len(b), max(SIZES)):  # hashes of runs of 2, 4, 8 ... characters, each from two halves
             half = runs[width]
-            runs[width * 2] = half[:-width] * np.uint32(0x9E3779B1) + (half[width:] ^ np.uint32(width))
+            runs[width * 2] = _joined(half[:-width], half[width:])
             width *= 2
         for n in SIZES:
             m, at, h = len(b) - n + 1, 0, None
@@ -49,12 +68,20 @@ def hashed(text: str | None) -> Iterator[np.ndarray]:
                 continue
             for p in (1 << i for i in reversed(range(n.bit_length())) if n >> i & 1):
                 part = runs[p][at : at + m]
-                h = part if h is None else h * np.uint32(0x85EBCA77) + part
+                h = part if h is None else _joined(h, part)
                 at += p
             x = h * np.uint32(0x85EBCA6B)
             yield (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
 
 
+def sketch(text: str | None) -> bytes:
+    """What copies and near copies of a training text have in common."""
+    grams = distinct(text)
+    if len(grams) > WIDE:
+        return xxhash.xxh3_128_digest(grams.tobytes())
+    return grams[:SKETCH].tobytes()
+
+
 def distinct(text: str | None) -> np.ndarray:
     """The different hashes of the text's n-grams."""
     return np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.unique(x) for x in hashed(text)]]))
@@ -74,16 +101,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[seen].sum(), -60, 60))))
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 24_000, features: int = 4096, l2: float = 0.01) -> Model:
-    """Fits on at most about `max_rows` labelled rows, chosen by hash of `key`; `rows` has a text and a 0/1 label."""
+def train(rows: DataFrame, text: str = "text", label: str = "toxic", features: int = 4096, l2: float = 0.01) -> Model:
+    """Fits on labelled rows with a text and a 0/1 label, such as labelled() gives."""
     small_batches(rows.sparkSession)
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
+    rows = rows.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
 
     def sign(batch: dict) -> dict:
-        return {"t": batch["t"], "y": batch["y"], "sig": [distinct(t)[:6].tobytes() for t in batch["t"]]}
+        return {"t": batch["t"], "y": batch["y"], "sig": [sketch(t) for t in batch["t"]]}
 
-    # texts of one label with the same least hashes are copies, near ones too, and count once: else what two copies
-    # share would look like a sign of their label
+    # copies count once: else what two copies share would look like a sign of their label
     once = map_batches(rows.select("t", "y"), sign, "t string, y int, sig binary").groupBy("sig", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     rows = write_table(once.select("t", "y").coalesce(8), "toxic-rows")
 
@@ -94,7 +120,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
         n = np.zeros((2, 1 << BITS), np.uint32)
         docs = np.zeros(2, np.uint32)
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, y in zip(values(batch.column(0)), batch.column(1).to_pylist()):
                 n[y, distinct(t)] += 1
                 docs[y] += 1
         flat = n.reshape(-1)
@@ -204,18 +230,19 @@ def fit(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, l2:
     return p[:m], float(p[m])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_rows: int = 24_000) -> DataFrame:
-    """docs joined with at most about max_rows labels, chosen by hash of the key: few enough to broadcast."""
-    labels = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).filter("_k is not null and _y in (0, 1)")
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", max_rows: int = 24_000) -> DataFrame:
+    """(key, text, label) of docs joined with at most about max_rows labels, chosen by hash of the key: few enough to broadcast."""
+    labels = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter("k is not null and y in (0, 1)")
     n = max(1, labels.count())
-    part = labels.filter(F.pmod(F.xxhash64("_k", F.lit("toxicity")), F.lit(1 << 20)) < int(min(1.0, max_rows / n) * (1 << 20)))
-    return docs.join(F.broadcast(part), F.col(key) == F.col("_k")).withColumn(label, F.col("_y")).drop("_k", "_y")
+    part = labels.filter(F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20)) < int(min(1.0, max_rows / n) * (1 << 20)))
+    plain = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
+    return plain.join(F.broadcast(part), F.col("d") == F.col("k")).select(F.col("d").alias(key), F.col("t").alias(text), F.col("y").alias(label))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxic_score", keep_text: bool = False) -> DataFrame:
     """docs with a score from 0 to 1 for each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if keep_text or c != text]
+    keep = rest(docs, out, *([] if keep_text else [text]))
 
     def run(batch: dict) -> dict:
         return {c: batch[c] for c in keep} | {out: [sent.value.score(t) for t in batch[text]]}

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from parqyard.llm import language_id, toxicity
 
@@ -22,8 +21,10 @@ def test_language(spark):
     assert set(profiles) == {"aa", "bb"}
     got = language_id.identify(docs.filter("doc_id % 4 = 2"), profiles).collect()
     assert all(r["lang_pred"] == r["lang"] and 0 <= r["lang_score"] <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (None, ""), (2, "12 !? 3"), (2, "12 !? 3"), (3, "kalomi" * 20000), (4, "日本")], "doc_id long, text string").withColumn("lang_score", F.lit("clash"))
-    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(odd.drop("lang_score"), profiles).collect()}
+    odd = spark.createDataFrame([(1, None), (None, ""), (2, "12 !? 3"), (2, "12 !? 3"), (3, "kalomi" * 20000), (4, "日本")], "doc_id long, text string").selectExpr("*", "'clash' as Lang_Score", "1 as lang_pred", "2 as l")
+    found = language_id.identify(odd, profiles)
+    got = {(r["doc_id"], r["lang_pred"]) for r in found.collect()}
+    assert found.columns == ["doc_id", "l", "lang_pred", "lang_score"] and found.dtypes[3] == ("lang_score", "double")
     assert got >= {(1, "und"), (None, "und"), (2, "und"), (3, "aa")} and not got & {(4, "und")}
     empty = docs.limit(0)
     assert language_id.train(empty) == {} and language_id.identify(empty, profiles).count() == 0
@@ -69,10 +70,11 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (1000, None), (0, 7)], "doc_id long, toxic int"))
-    plain = docs.select("doc_id", "text")
+    plain = docs.selectExpr("doc_id", "text", "'clash' as Toxic", "1 as k", "2 as y", "3 as _y", "'x' as toxic_score")
     model = toxicity.train(toxicity.labelled(plain, labels.filter("doc_id % 3 != 1 or doc_id is null")))
-    got = toxicity.score(docs, model).filter("doc_id % 3 = 1").collect()
-    assert all((r["toxic_score"] >= 0.7) == bool(r["toxic"]) and 0 <= r["toxic_score"] <= 1 for r in got)
+    got = toxicity.score(plain, model).filter("doc_id % 3 = 1").collect()
+    assert all((r["toxic_score"] >= 0.7) == bool(rows[r["doc_id"]][2]) and 0 <= r["toxic_score"] <= 1 for r in got)
+    assert set(got[0].asDict()) == {"doc_id", "Toxic", "k", "y", "_y", "toxic_score"} and isinstance(got[0]["toxic_score"], float)
     odd = spark.createDataFrame([(1, None), (None, ""), (2, "ab " * 50000 + "grunch"), (2, "ab " * 50000 + "grunch")], "doc_id long, text string")
     s = [r["toxic_score"] for r in toxicity.score(odd, model).collect()]
     assert s[0] == s[1] and s[2] == s[3] and s[2] > s[0]
@@ -82,6 +84,41 @@ def test_toxicity(spark):
     assert toxicity.train(toxicity.labelled(plain, labels.limit(0))).score("x") < 0.01
 
 
+def test_features_and_ratios_by_brute_force(spark, monkeypatch):
+    """N-grams as strings, their document counts by label, log-count ratios and choice, as plain Python finds them."""
+    monkeypatch.setattr(toxicity, "LEAST", 2)
+    monkeypatch.setattr(toxicity, "fit", lambda row, col, ratio, y, l2: (np.ones(len(ratio)), 0.0))
+    rnd = random.Random(3)
+    texts = list({("".join(rnd.choice("abßÉ日 \n") for _ in range(rnd.randint(4, 40))) + ("xyxy" if i % 2 and i % 5 else ""), i % 2) for i in range(60)})
+    slots, docs = {}, {}
+    for t, y in texts:
+        padded = " " + t.lower().replace("\n", " ") + " "
+        for n, found in zip((4, 6, 8), toxicity.hashed(t)):
+            assert len(found) == len(padded) - n + 1
+            for i, x in enumerate(found.tolist()):
+                assert slots.setdefault(padded[i : i + n], x) == x
+        docs.setdefault((toxicity.sketch(t), y), {g for n in (4, 6, 8) for g in (padded[i : i + n] for i in range(len(padded) - n + 1))})
+    by_slot = {}
+    for g, x in slots.items():
+        by_slot.setdefault(x, []).append(g)
+    assert len(by_slot) > 0.998 * len(slots)
+    model = toxicity.train(spark.createDataFrame(texts, "text string, toxic int"))
+    n = [sum(1 for _, y in docs if y == k) for k in (0, 1)]
+    chosen, others = [], []
+    for slot, (g, *more) in by_slot.items():
+        if more:
+            continue
+        q, p = (sum(1 for (_, y), own in docs.items() if y == k and g in own) for k in (0, 1))
+        share = (p + q) / sum(n)
+        z = abs(p / n[1] - q / n[0]) / (share * (1 - share) * (1 / n[1] + 1 / n[0])) ** 0.5 if 0 < share < 1 else 0.0
+        if model.slot[slot] < 0:
+            others.append(z if p + q >= 2 else 0.0)
+        else:
+            chosen.append(z)
+            assert p + q >= 2 and abs(model.weight[model.slot[slot]] - (np.log((p + 1) / (n[1] + 2)) - np.log((q + 1) / (n[0] + 2)))) < 1e-12
+    assert 10 < len(chosen) <= len(model.weight) and max(others) <= min(chosen) + 1e-9 and max(chosen) >= 4
+
+
 def test_stretches(monkeypatch):
     """Texts of several stretches have the same n-grams as in one."""
     text = "The cat, the hät! " * 40 + "x" * 100
