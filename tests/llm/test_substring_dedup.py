@@ -54,14 +54,30 @@ def test_no_rows(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_runs_are_compacted(spark):
-    """Runs of a level become one of the next; what they hold stays."""
-    index = FingerprintIndex(spark, window=4, gram=2, fanout=2)
+def test_runs_are_compacted_and_opened_again(spark, tmp_path):
+    """Runs of a level become one of the next; what they hold stays, also for an index that is opened by its path."""
+    path = f"file://{tmp_path}/index"
     text = "a b c d e f g"
+    row = lambda i: (bytes([i]), i, text + f" only{i}")
     for i in range(5):
-        part = spark.createDataFrame([(i, i, text + f" only{i}")], "rid long, ord long, text string")
-        past = spark.createDataFrame([(j, j, text + f" only{j}") for j in range(i)], "rid long, ord long, text string") if i else None
+        index = FingerprintIndex(spark, window=4, gram=2, fanout=2, path=path) if not i else FingerprintIndex(spark, path=path)
+        assert (index.window, index.gram, index.fanout, len(index.runs)) == (4, 2, 2, i.bit_count())
+        part = spark.createDataFrame([row(i)], "rid binary, ord long, text string")
+        past = spark.createDataFrame([row(j) for j in range(i)], "rid binary, ord long, text string") if i else None
         spans = index.add(part, past).collect()
         assert bool(spans) == bool(i)
-    assert len(index.runs) == 2 and sorted(level for level, _ in index.runs) == [0, 2]
-    index.close()
+        index.close()
+    assert sorted(level for level, _ in index.runs) == [0, 2]
+    index.close(delete=True)
+    assert not (tmp_path / "index").exists()
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    index = FingerprintIndex(spark, window=4, gram=2, hot=1000)
+    runs = [index._run(spark.createDataFrame([(j * 7, bytes([i]), i) for i in part for j in range(9)], "anchor long, rid binary, ord long")) for part in (range(5), range(5, 9))]
+    seen = []
+    write = index._write
+    index._write = lambda df, at: (seen.append(df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]), write(df, at))
+    index._shared(runs[1], [runs[0]])
+    assert "SortMergeJoin" in seen[0] and "Exchange" not in seen[0]
+    index.close(delete=True)
