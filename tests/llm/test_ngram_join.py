@@ -10,11 +10,13 @@ from parqyard.llm import ngram_join
 from parqyard.llm.components import components
 
 
+def shingle_set(t, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def brute(rows, n, num, den):
-    sets = []
-    for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    sets = [shingle_set(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
