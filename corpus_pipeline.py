@@ -13,40 +13,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parqyard.llm import mixing, ngram_join, pieces, substring_dedup, toxicity
-from parqyard.llm.common import scratch_root, table
+from parqyard.llm.common import identity, scratch_root, table
 from parqyard.llm.queries import TARGETS, TOPIC
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC_FROM = 0.7
 KEEP_TOKENS = 0.7
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns beyond those of documents under names that no operator uses, and the names by the old ones."""
+    names = {c: c if c in COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a classifier fitted on the labelled ones scores 0.7 or more."""
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, model, out="_toxic", keep_text=True)
-    return scored.filter(F.col("_toxic") < TOXIC_FROM).drop("_toxic")
+    rows, names = _apart(docs)
+    model = toxicity.train(toxicity.labelled(rows, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(rows, model, out="toxic_score", keep_text=True)
+    return _back(scored.filter(F.col("toxic_score") < TOXIC_FROM), names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of five-word shingles (Jaccard 0.8 or more) connect, the one of smallest id."""
-    linked = ngram_join.link(docs, n=5, num=4, den=5)
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct()
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(kept, F.col("_rid") == F.col("rid"), "left_semi").drop("_rid")
+    """Of the documents that links of five-word shingles (Jaccard 0.8 or more) connect, the one of smallest id.
+
+    Just one row stays of each group, also where ids are null (they come last) or repeated. Of rows with the same id and
+    text, the one whose other columns come first stays, also where the text has no words and so links with nothing.
+    """
+    rows, names = _apart(docs)
+    linked = ngram_join.link(rows, n=5, num=4, den=5)
+    group = F.coalesce(F.col("label").cast("string"), "rid")
+    first = linked.groupBy(group.alias("group")).agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    own = rows.withColumn("rid", identity("doc_id", "text")).groupBy("rid").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*others))).alias("row"))
+    return _back(own.join(first.select("rid"), "rid", "left_semi").select("row.*"), names)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the passages of 50 words or more that a document of smaller id has; documents left empty go."""
-    got = substring_dedup.dedup(docs)
+    rows, names = _apart(docs)
+    got = substring_dedup.dedup(rows)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    rest = got.filter((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return rest.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    left = got.filter((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return _back(left.withColumns({"text": text, "n_chars": chars}), names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of up to 70 % of the tokens, as far as the source, language and topic targets allow, in the raked mixture."""
-    got = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS, keep=KEEP_TOKENS)
-    return got.filter("selected").select(*docs.columns)
+    rows, names = _apart(docs)
+    got = mixing.mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, TARGETS, keep=KEEP_TOKENS)
+    return _back(got.filter("selected"), names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
