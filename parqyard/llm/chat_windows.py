@@ -2,8 +2,9 @@
 
 Turns of a conversation, in order, are marked as <|role|>text<|end|>; in texts and roles `&`, `<` and `|` are written
 as character references, so no text can imitate a mark and reading back is exact. Prefix sums of turn tokens cut a
-conversation into spans of whole turns: half of the room (the budget without the system turn and the history) is the
-unit, a span ends where the sum enters the next unit, and a turn larger than a unit is a span of its own. Each window
+conversation into spans of whole turns: a span ends where the sum enters the next unit. The unit is the room (the budget
+without the system turn and the history) less the largest turn of the conversation that is at most half of the room, so a
+span never exceeds the room and mostly fills it; a turn of over half of the room is a span of its own. Each window
 holds the system turn (a leading turn of that role), then the last turns of the span before, up to `history` tokens,
 then its own span. The loss covers the texts of assistant turns of the own span only: repeated targets are masked.
 
@@ -11,14 +12,18 @@ A window is one row: (conv_id, window, n_turns, n_repeated, n_tokens, formatted,
 (from 1) of its first own turn, n_repeated leading turns are context repeated from before and loss_spans are (start, length) in code points of formatted, from 0. Only a
 turn that alone exceeds the room makes a window exceed the budget.
 
-Edge cases: null texts and roles are empty. Equal turn numbers are ordered by role, then text; null turn numbers come
-first. A null conv_id is a conversation of its own. Repeated rows are turns like others. No rows give no windows; extra
+Tokens are counted as words and two for a turn's marks, unless `count` gives another count of a text column.
+
+Edge cases: null texts and roles are empty. Equal turn numbers are ordered by the MD5 of role and text; null turn numbers
+come first. A null conv_id is a conversation of its own. Repeated rows are turns like others. No rows give no windows; extra
 columns are ignored. Sums run in ranges of turns, so a conversation of any length is spread over tasks; only the turns of
 a window are held together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,20 +49,24 @@ def unescape(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """A turn's tokens: its words, and two for its marks."""
+    """A turn's tokens: its words (runs of other characters than space and U+0009 to U+000D), and two for its marks."""
     return F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) + 2
 
 
-def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", count: Callable[[Column], Column] = tokens) -> DataFrame:
     """The windows of all conversations (see above)."""
     kind = turns.schema[conv].dataType
     t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("n", tokens(F.col("text")))
-    first = t.groupBy("c").agg(F.min(F.struct("turn", "role", "text", "n")).alias("f"), F.count("*").alias("turns"))
-    first = write_table(first.select(F.col("c").alias("fc"), F.when(F.col("f.role") == "system", F.col("f.n")).otherwise(0).alias("sys_n"), "turns"), "first")
-    unit = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("sys_n") - history) / 2))
-    t = t.join(first, F.col("c").eqNullSafe(F.col("fc"))).withColumn("unit", unit).withColumn("big", F.col("n") > F.col("unit"))
-    t = running(t.drop("fc"), "c", ["turn", "role", "text"], {"at": F.lit(1), "through": F.col("n"), "bigs": F.col("big").cast("int")})
+    # the order of turns by what a sample of it may take to the driver: a number and a digest, no texts
+    t = t.withColumn("n", count(F.col("text"))).withColumn("tie", F.md5(F.concat("role", F.lit("\n"), "text")))
+    first = t.groupBy("c").agg(F.min(F.struct("turn", "tie", (F.col("role") == "system").alias("system"), "n")).alias("f"), F.count("*").alias("turns"))
+    first = write_table(first.select(F.col("c").alias("fc"), F.when(F.col("f.system"), F.col("f.n")).otherwise(0).alias("sys_n"), "turns"), "first")
+    room = F.lit(budget) - F.col("sys_n") - history
+    half = F.greatest(F.lit(1), F.floor(room / 2))
+    largest = t.select("c", "n").join(first, F.col("c").eqNullSafe(F.col("fc"))).groupBy("fc", "sys_n", "turns").agg(F.max(F.when(F.col("n") <= half, F.col("n"))).alias("m"))
+    first = write_table(largest.withColumn("unit", F.greatest(half, room - F.coalesce("m", F.lit(0)))).drop("m"), "first")
+    t = t.join(first, F.col("c").eqNullSafe(F.col("fc"))).withColumn("big", F.col("n") > half)
+    t = running(t.drop("fc"), "c", ["turn", "tie"], {"at": F.lit(1), "through": F.col("n"), "bigs": F.col("big").cast("int")})
     t = t.withColumn("before", F.col("through") - F.col("n") - F.col("sys_n")).withColumn("unit", F.floor(F.col("before") / F.col("unit")))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
     t = t.withColumn("head", F.length(head)).withColumn("text", F.concat(head, escape(F.col("text")), F.lit(END)))

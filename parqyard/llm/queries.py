@@ -138,15 +138,17 @@ with t as (
   select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), a as (
-  select *, row_number() over (partition by c order by turn nulls first, role, text) as pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as n from t
+  select *, row_number() over (partition by c order by turn nulls first, md5(role || chr(10) || text)) as pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as n from t
 ), b as (
   select *, pos = 1 and role = 'system' as is_system from a
 ), d as (
   select *, sum(case when is_system then n else 0 end) over w as sys_n, sum(case when is_system then 0 else n end) over w as through from b window w as (partition by c order by pos)
 ), e as (
-  select *, through - case when is_system then 0 else n end as before, greatest(1, floor((512 - sys_n - 96) / 2)) as unit from d
+  select *, through - case when is_system then 0 else n end as before, 512 - sys_n - 96 as room, greatest(1, floor((512 - sys_n - 96) / 2)) as half from d
+), u as (
+  select *, greatest(half, room - coalesce(max(case when n <= half then n end) over (partition by c), 0)) as unit from e
 ), f as (
-  select *, floor(before / unit) as k, n > unit and not is_system as big from e
+  select *, floor(before / unit) as k, n > half and not is_system as big from u
 ), g as (
   select *, coalesce(k <> lag(k) over w or big or lag(big) over w, false) and pos > case when sys_n > 0 then 2 else 1 end as opens from f window w as (partition by c order by pos)
 ), h as (

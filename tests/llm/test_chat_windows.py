@@ -1,5 +1,6 @@
 """Chat windows: exact reading back, budgets, masks and odd rows."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def test_round_trip_masks_and_budget(spark):
     for r in chat_windows.turns_of(got).collect():
         back.setdefault(r["conv_id"], []).append((r["window"], r["place"], r["role"], r["text"]))
     want = {}
-    for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+    for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, hashlib.md5(f"{r[2] or ''}\n{r[3] or ''}".encode()).hexdigest())):
         want.setdefault(c, []).append((role or "", text or ""))
     assert {c: [x[2:] for x in sorted(v)] for c, v in back.items()} == want
     tokens = lambda t: len(t.split()) + 2
@@ -49,5 +50,14 @@ def test_round_trip_masks_and_budget(spark):
     assert repeated and all(sum(tokens(unescape(x.split("|>", 1)[1])) for x in w["formatted"].split("<|end|>")[1 : w["n_repeated"]]) <= history for w in repeated if want[w["conv_id"]][0][0] == "system")
 
 
+def test_windows_are_filled(spark):
+    """Of a long conversation of short turns, all windows but the last are mostly full, and none exceeds the budget."""
+    rnd = random.Random(4)
+    rows = [(1, t, "user" if t % 2 else "assistant", "w " * rnd.randint(5, 40)) for t in range(1200)]
+    got = chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    sizes = [w["n_tokens"] for w in sorted(got, key=lambda w: w["window"])]
+    assert max(sizes) <= 512 and sum(sizes[:-1]) / len(sizes[:-1]) > 420 and sum(w["n_turns"] - w["n_repeated"] for w in got) == 1200
+
+
 def test_no_rows(spark):
     assert chat_windows.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
