@@ -1,12 +1,13 @@
 """Exact top-k inner-product search by ball-tree branch and bound over shards.
 
 Vectors hold integers. Each shard builds a ball tree; a query visits its nodes in the order of their upper bound
-q.c + |q| r and stops at the current kth score. A query first searches the shard it lives in; the kth score found there
-goes with it to every other shard, which then looks only at nodes that can still beat it. Query blocks are dealt to
-shards by an equi-join on the shard's number, never broadcast.
+q.c + |q| r and stops at the current kth score. A query first searches the shard it lives in, then some others (the
+square root of their number), then the rest; in each round the kth score of all shards before goes with it, so only nodes
+that can still beat it are looked at. In a round a tree is moved once, to the task that takes the queries sent to its
+shard; nothing is broadcast, and what moves besides is each query, once for each shard.
 
 Edge cases: rows with a null id, and vectors that are null, empty or hold nulls, take no part. Ties go to the smaller
-id. Rows that share a query's id count as the query itself. Vectors of another length than the query's are no
+id. Rows that share a query's id count as the query itself; of several queries of one id, the one whose vector sorts first asks. Vectors of another length than the query's are no
 candidates. Fewer candidates than k: all are returned. Scores beyond a long's range count as its
 ends. An empty table gives no rows; extra columns are ignored.
 """
@@ -14,6 +15,7 @@ ends. An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import write_table
+from .common import drop_table, write_table
 
 LEAF = 128
+_FOUND = "array<struct<score: long, id: long>>"
+_PACKED = f"shard int, d int, tree binary, query_id long, v array<long>, found {_FOUND}"
+_ARROW = pa.schema([("shard", pa.int32()), ("d", pa.int32()), ("tree", pa.binary()), ("query_id", pa.int64()), ("v", pa.list_(pa.int64())), ("found", pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))])
 _LEAST = -(1 << 63)
 
 
@@ -123,7 +128,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: str, k: int =
     shards = max(1, -(-rows.count() // shard_rows))
 
     def pack(batches):
-        """One row for each length of vector: its tree and its own queries with the kth score found in it."""
+        """For each length of vector a row with the tree, and a row for each own query with what was found for it there."""
         ids, vs, qs = [], [], []
         for b in batches:
             ids.append(b.column(0).to_numpy())
@@ -142,25 +147,66 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: str, k: int =
                     break
             tree, asks = Tree.build(own, x), np.nonzero(qs[part])[0]
             found = tree.search(own[asks], x[asks], k, [None] * len(asks))
-            floor = [f[-1] if len(f) == k else None for f in found]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "d": pa.array([int(d)], pa.int32()), "tree": [pickle.dumps(tree)], "asks": [pickle.dumps((own[asks], x[asks], floor))]})
+            yield _batch([(shard, int(d), pickle.dumps(tree), None, None, None)])
+            for at in range(0, len(asks), 1000):
+                yield _batch([(shard, int(d), None, int(own[i]), x[i].tolist(), [{"score": s, "id": -j} for s, j in f]) for i, f in zip(asks[at : at + 1000], found[at : at + 1000])])
 
-    packed = rows.repartition(shards, "id").mapInArrow(pack, "shard int, d int, tree binary, asks binary")
-    packed = write_table(packed, "shards")
+    packed = write_table(rows.repartition(shards, "id").mapInArrow(pack, _PACKED), "shards")
     # a retried or widened shuffle may number shards differently from `shards`, so the table says how many there are
-    top = packed.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0]
-    blocks = packed.select("d", "asks", F.explode(F.sequence(F.lit(0), F.lit(max(top, 0)))).alias("shard"))
-    pairs = blocks.join(packed.select("shard", "d", "tree"), ["shard", "d"]).select("tree", "asks")
+    count = 1 + packed.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0]
+    trees = packed.filter("tree is not null").select("shard", "d", "tree", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("v"), F.lit(None).cast(_FOUND).alias("found"))
+    asks = packed.filter("tree is null").groupBy("query_id").agg(F.min(F.struct("v", "shard", "d", "found")).alias("s"))  # one row of a repeated query
+    asks = asks.select(F.col("s.shard").alias("home"), "s.d", "query_id", "s.v", "s.found")
 
     def look(batches):
+        """Rows come by shard, its tree first; queries follow with the k best so far, which this shard's are added to."""
+        at, tree = None, None
         for b in batches:
-            for t, a in zip(b.column(0), b.column(1)):
-                tree: Tree = pickle.loads(t.as_py())
-                qids, queries, floor = pickle.loads(a.as_py())
-                got = [(int(q), -x[1], x[0]) for q, found in zip(qids, tree.search(qids, queries, k, floor)) for x in found]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["query_id", "vec_id", "score"])
-
-    with_few = pairs.mapInArrow(look, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return with_few.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+            shard, d, raw = (b.column(i).to_pylist() for i in range(3))
+            qids, found, v = b.column(3).to_pylist(), b.column(5).to_pylist(), b.column(4)
+            asked: list[int] = []
+
+            def answer():
+                if not asked:
+                    return
+                queries = np.stack([np.array(v[i].as_py(), np.int64) for i in asked])
+                best = [[(f["score"], -f["id"]) for f in found[i] or ()] for i in asked]
+                floor = [min(f) if len(f) == k else None for f in best]
+                got = tree.search(np.array([qids[i] for i in asked]), queries, k, floor) if tree is not None else [[] for _ in asked]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([qids[i] for i in asked], pa.int64()), "found": pa.array([[{"score": s, "id": -j} for s, j in g] for g in got], _ARROW.field("found").type)})
+                asked.clear()
+
+            for i in range(b.num_rows):
+                if (shard[i], d[i]) != at:
+                    yield from answer()
+                    at, tree = (shard[i], d[i]), None
+                if raw[i] is not None:
+                    tree = pickle.loads(raw[i])
+                else:
+                    asked.append(i)
+            yield from answer()
+
+    # each round sends every query, with the kth score of all shards before, to more shards; trees move once a round
+    near = max(1, math.isqrt(count))
+    best, held = asks, None
+    for low, high in ((1, min(near, count - 1)), (near + 1, count - 1)):
+        if low > high:
+            continue
+        away = F.explode(F.expr(f"transform(sequence({low}, {high}), x -> cast((home + x) % {count} as int))"))
+        sent = best.select(away.alias("shard"), "d", F.lit(None).cast("binary").alias("tree"), "query_id", "v", "found")
+        met = trees.unionByName(sent).repartition("shard", "d").sortWithinPartitions("shard", "d", F.col("tree").isNull())
+        more = met.mapInArrow(look, f"query_id long, found {_FOUND}").filter("size(found) > 0").select("query_id", F.explode("found").alias("f"))
+        known = best.select("query_id", F.explode("found").alias("f")).unionByName(more).select("query_id", "f.score", "f.id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        top = known.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("query_id").agg(F.collect_list(F.struct("score", "id")).alias("found"))
+        now = best.drop("found").join(top.withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("_q"), "left").drop("_q")
+        new = write_table(now, "found")
+        if held is not None:
+            drop_table(held)
+        best = held = new
+    listed = F.array_sort("found", lambda x, y: F.when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["id"] < y["id"], -1).otherwise(1))
+    return best.select("query_id", F.posexplode(listed).alias("place", "f")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("f.id").alias("vec_id"), "f.score")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
