@@ -1,6 +1,7 @@
 """Order MinHash: fingerprints of texts whose likeness falls with their edit distance.
 
-A text is a sequence of tokens (runs of other characters than white space, cut at 16), its k-mers are runs of `k` of
+A text is a sequence of tokens (runs of other characters than white space, cut at 16; letters of scripts without spaces
+one by one), its k-mers are runs of `k` of
 them, numbered by occurrence, so that the second "a b c" of a text differs from the first. One hash of (k-mer,
 occurrence) deals them to `sketches` bins; in each bin the two least ones are selected, put in text order and hashed
 as a tuple. A fingerprint is the list of these tuples' hashes; likeness is the share of bins that agree among those
@@ -21,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+#: Letters of scripts that put no spaces between words (Thai to Khmer, kana, Han, Hangul), each a token of its own.
+_ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{3FFFF}"
+_TOKEN = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]{{1,16}}"
 _LOW = (1 << 24) - 1  # positions; the 40 bits above hold a hash, with the sign bit clear after one shift
 
 
