@@ -1,8 +1,10 @@
-"""Command line: inspect a file, export it as JSON, or show its first rows.
+"""Command line: inspect a file, export it as JSON, show its first rows, profile its columns, or write a test of it.
 
 python -m parqyard.cli inspect FILE [--stats-only | --json | --json-pretty]
 python -m parqyard.cli json FILE [OUT]
 python -m parqyard.cli rows FILE [-n N]
+python -m parqyard.cli profile FILE [-n N]
+python -m parqyard.cli template FILE
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ def main(args: list[str] | None = None, spark=None) -> int:
     three = commands.add_parser("rows")
     three.add_argument("file")
     three.add_argument("-n", type=int, default=10)
+    four = commands.add_parser("profile")
+    four.add_argument("file")
+    four.add_argument("-n", type=int, default=10)
+    commands.add_parser("template").add_argument("file")
     got = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
 
     from .operators.query import Table
-    from .plans import report
+    from .plans import report, template
 
     spark = spark or SparkSession.builder.appName("parqyard").getOrCreate()
     try:
@@ -43,6 +49,16 @@ def main(args: list[str] | None = None, spark=None) -> int:
                     report.export_json(spark, got.file, to)
             else:
                 report.export_json(spark, got.file, sys.stdout)
+        elif got.command == "profile":
+            table = Table.open(spark, got.file, order=True)
+            print("Columns:", *table.columns(), sep="\n  ")
+            print(f"Rows: {table.total_rows()}\nProfile:")
+            for p in report.profile(Table.open(spark, got.file).df).collect():  # a row for each column
+                print("  " + ", ".join(f"{k}={v}" for k, v in p.asDict().items()))
+            print("First rows:", *table.limit(got.n).rows(), sep="\n  ")
+            print("Last rows:", *reversed([*table.tail(got.n).rows()]), sep="\n  ")
+        elif got.command == "template":
+            print(template.test_source(spark, got.file), end="")
         else:
             for row in Table.open(spark, got.file, order=True).limit(got.n).rows():
                 print(row)
