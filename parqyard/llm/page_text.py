@@ -9,7 +9,8 @@ deleted, even where both pages say them. Then go the lines that differ from page
 page itself marks as menu, header, footer, sidebar, notice, advert, form or comments: by the element's kind or role, or by
 a class or id made only of such words (`ad`, `cookie-notice`; not `comments-enabled`). Such an element is taken for a
 wrapper if the first <article> or <main> of the page stands in it, or, marked by class or a form, if it holds over half of the
-text of a page that has neither. Lines travel as 64-bit hashes; a page's html is never sent to its neighbour.
+text of a page that has neither. Lines travel as 64-bit hashes; a page's html
+is never shuffled, only the blocks that its markup leaves.
 
 Edge cases: null html is empty; pages without text give an empty text. Null URLs form one host; pages of one URL are
 ordered by page id. A host with a single page is not differenced. Repeated rows get one result each; when several rows
@@ -255,17 +256,25 @@ def template(own: list[int], path: str, others: list[tuple[str, list[int]]]) ->
     return []
 
 
-def kept(page: str | None, shared: list[int] | None) -> tuple[list[str], int, int]:
-    """The blocks of the main text, and how many went as template text, and as furniture afterwards."""
+def blocks(page: str | None) -> tuple[bytes, bytes]:
+    """The blocks that markup leaves, by lines, and of every block in order whether it is furniture (2), main text (1) or neither."""
+    found = lines(page)
+    return "\n".join(t for t, _, bad in found if not bad).encode("utf-8", "surrogatepass"), bytes(2 if bad else int(main) for _, main, bad in found)
+
+
+def kept(texts: bytes, kinds: bytes, shared: list[int] | None) -> tuple[str, int, int]:
+    """The main text of blocks(), and how many blocks went as template text, and as furniture afterwards."""
     gone, out, cut, marked = set(shared or ()), [], 0, 0
-    for i, (text, main, bad) in enumerate(lines(page)):
-        if i in gone and (bad or not main):
+    left = iter(texts.decode("utf-8", "surrogatepass").split("\n"))
+    for i, kind in enumerate(kinds):
+        text = None if kind == 2 else next(left)
+        if i in gone and kind != 1:
             cut += 1
-        elif bad:
+        elif kind == 2:
             marked += 1
         else:
             out.append(text)
-    return out, cut, marked
+    return "\n".join(out), cut, marked
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -293,8 +302,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     shared = write_table(map_batches(near.select("rid", "lines", "path", other("after").alias("a"), other("before").alias("z")), align, "rid string, shared array<int>"), "shared")
     release(near)
 
+    def strip(b: dict) -> dict:
+        found = [blocks(p) for p in b["html"]]
+        return {c: b[c] for c in ("rid", "page_id", "url")} | {"texts": [f[0] for f in found], "kinds": [f[1] for f in found]}
+
     def cut(b: dict) -> dict:
-        got = [kept(p, s) for p, s in zip(b["html"], b["shared"])]
-        return {"page_id": b["page_id"], "url": b["url"], "text": ["\n".join(g[0]) for g in got], "n_template": [g[1] for g in got], "n_marked": [g[2] for g in got]}
+        got = [kept(*x) for x in zip(b["texts"], b["kinds"], b["shared"])]
+        return {"page_id": b["page_id"], "url": b["url"], "text": [g[0] for g in got], "n_template": [g[1] for g in got], "n_marked": [g[2] for g in got]}
 
-    return map_batches(rows.join(shared, "rid", "left").select("page_id", "url", "html", "shared"), cut, f"page_id {kind}, url string, text string, n_template int, n_marked int")
+    # what is furniture goes before pages meet their shared lines, whose places alone tell what to count
+    stripped = map_batches(rows, strip, f"rid string, page_id {kind}, url string, texts binary, kinds binary")
+    return map_batches(stripped.join(shared, "rid", "left").select("page_id", "url", "texts", "kinds", "shared"), cut, f"page_id {kind}, url string, text string, n_template int, n_marked int")
