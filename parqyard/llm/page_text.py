@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import os.path
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -304,10 +305,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     def strip(b: dict) -> dict:
         found = [blocks(p) for p in b["html"]]
-        return {c: b[c] for c in ("rid", "page_id", "url")} | {"texts": [f[0] for f in found], "kinds": [f[1] for f in found]}
+        return {c: b[c] for c in ("rid", "page_id", "url")} | {"texts": [zlib.compress(f[0], 1) for f in found], "kinds": [f[1] for f in found]}
 
     def cut(b: dict) -> dict:
-        got = [kept(*x) for x in zip(b["texts"], b["kinds"], b["shared"])]
+        got = [kept(zlib.decompress(t), k, x) for t, k, x in zip(b["texts"], b["kinds"], b["shared"])]
         return {"page_id": b["page_id"], "url": b["url"], "text": [g[0] for g in got], "n_template": [g[1] for g in got], "n_marked": [g[2] for g in got]}
 
     # what is furniture goes before pages meet their shared lines, whose places alone tell what to count
