@@ -76,6 +76,61 @@ def identity(*columns: str | Column) -> Column:
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *columns)), 16, "0") for seed in ("first", "second")])
 
 
+_PIECE = 17  # a bitmap travels in pieces of 2**17 bits
+
+
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, eight in a byte, with those set whose numbers the long column of places has: as large whatever the data."""
+
+    def pack(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for piece in np.unique(at >> _PIECE).tolist():
+                flags = held.setdefault(piece, np.zeros(1 << _PIECE, bool))
+                flags[at[at >> _PIECE == piece] & ((1 << _PIECE) - 1)] = True
+            for piece in [k for k in held if len(held) > 64]:  # bounds what is held; the driver joins pieces
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "flags": [np.packbits(held.pop(piece)).tobytes()]})
+        for piece, flags in held.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "flags": [np.packbits(flags).tobytes()]})
+
+    at = places.columns[0]
+    dealt = places.repartition(F.shiftright(at, _PIECE)).sortWithinPartitions(at)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in dealt.mapInArrow(pack, "piece int, flags binary").toLocalIterator():
+        lo = r["piece"] << (_PIECE - 3)
+        out[lo : lo + (1 << (_PIECE - 3))] |= np.frombuffer(r["flags"], np.uint8)
+    return out
+
+
+def is_set(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the numbered bits of a bitmap are set."""
+    return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def sieve(keys: DataFrame, bits: int = 25) -> Callable[[str], Column]:
+    """A filter that keeps every row whose key the string column of keys has, and few others, so that a join need not
+    move the rest. It is of fixed size: with far more keys than 2**bits / 10 it lets more through, and loses nothing."""
+    from pyspark.sql.functions import pandas_udf
+
+    def places(h):
+        return h >> (64 - bits) & ((1 << bits) - 1), h & ((1 << bits) - 1)
+
+    h = F.xxhash64(keys.columns[0])
+    mask = (1 << bits) - 1
+    both = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(mask))).alias("at")
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap(keys.select(both), bits))
+
+    @pandas_udf("boolean")
+    def may(h):
+        import pandas as pd
+
+        a, b = places(h.to_numpy())
+        return pd.Series(is_set(sent.value, a) & is_set(sent.value, b))
+
+    return lambda key: may(F.xxhash64(key))
+
+
 def rest(df: DataFrame, *names: str) -> list[str]:
     """The columns of df but those named as one of names, in whatever case, as Spark compares them."""
     taken = {n.lower() for n in names}

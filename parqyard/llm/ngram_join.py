@@ -7,6 +7,11 @@ needs m of its n n-grams to be shared (m = ceil(t n)) indexes its first n - m +
 if they share at least the smaller L of the two among those. Each class picks its L by the estimated cost of candidates:
 a longer prefix is read more often but lets fewer coincidences through.
 
+The estimate can't tell n-grams apart that are rarer than its own noise, which grows with the data. So prefixes a quarter
+longer are counted exactly first, n-gram by n-gram; those in more than `short` classes that are not copies of one text go
+behind all others in the order (a bitmap of fixed size says which), and the classes that they would bring together by
+chance alone are not.
+
 Where to look: pairs from short posting lists that meet the count, and stars along long ones, which are no pairs yet. The
 components of this graph are cut into blocks, and each pair of blocks of one component goes to one task. There every
 pair of classes is held to the count of shared prefix n-grams, whatever lists it came from, and what passes is verified
@@ -26,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, identity, map_batches, shingles, small_batches, trim, values, word_hashes, write_table
+from .common import bitmap, claim, drop_table, identity, is_set, map_batches, shingles, sieve, small_batches, trim, values, word_hashes, write_table
 from .components import components
 
 _CHUNK = 14  # the frequency table travels in pieces of 2**14 counts
+_CROWDED = 26  # bits of the bitmap of n-grams that many classes hold
+_PARTS = 10  # n-grams are counted in 2**10 parts, by the first bits of their hashes
+_ALIKE = 4  # so many lists with the same first and last class are of copies, not of chance
+_SEEN = 200_000  # classes that a task remembers
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -55,7 +64,7 @@ def survey(rows: DataFrame, n: int, bits: int, kind: str) -> DataFrame:
                 none = [None] * len(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "rid", "n", "cls", "chunk", "counts"])
         for i in range(0, 1 << bits, 1 << _CHUNK):
-            piece = total[i : i + (1 << _CHUNK)]
+            piece = np.minimum(total[i : i + (1 << _CHUNK)], 65535).astype(np.uint16)  # of a task; they only order
             if fields and piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([None], fields[0]), pa.array([None], fields[1]), pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["doc_id", "rid", "n", "cls", "chunk", "counts"])
 
@@ -69,7 +78,7 @@ def frequencies(surveyed: DataFrame, bits: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(b, np.uint32)
+                x = np.frombuffer(b, np.uint16).astype(np.uint32)
                 held[i] = held[i] + x if i in held else x
         for i, x in held.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": [x.tobytes()]})
@@ -80,19 +89,94 @@ def frequencies(surveyed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def prefix(grams: np.ndarray, freq: np.ndarray, bits: int, num: int, den: int, most: int, load: float, verify: float = 8.0) -> tuple[np.ndarray, int]:
-    """The n-grams to index and the number of matches L that goes with them."""
+def prefix(grams: np.ndarray, freq: np.ndarray, bits: int, num: int, den: int, most: int, load: float, verify: float = 8.0, late: np.ndarray | None = None, spare: float = 0.0) -> tuple[np.ndarray, int]:
+    """The n-grams to index and the number of matches L that goes with them.
+
+    late says which n-grams come behind all others. With spare, so large a share of n-grams more is returned, those next in order.
+    """
     n = len(grams)
     need = -(-num * n // den)
     f = freq[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(float)
-    order = np.lexsort((grams, f))
+    order = np.lexsort((grams, f) if late is None else (grams, f, late))
     top = min(most, need)
     first = n - need + 1
     own = np.maximum(f[order[: first + top - 1]] - 1 - load, 0) + 0.01  # what others hold, without the table's own crowding
     cost = np.cumsum(own)[first - 1 :]
     level = np.arange(1, top + 1)
     best = int(np.argmin(cost + 0.02 * level + verify * cost / level))
-    return grams[order[: first + best]], best + 1
+    more = int(np.ceil(spare * (first + best))) + 8 if spare else 0
+    return grams[order[: first + best + more]], best + 1
+
+
+def crowded(texts: DataFrame, n: int, heads, short: int) -> np.ndarray:
+    """A bitmap, by the first bits of their hashes, of the n-grams that more than `short` classes have among heads(set).
+
+    Lists that begin and end with the same two classes as others do are left out: they are of near copies, which belong
+    together. Only the order of n-grams depends on it, so hashes cut to 40 bits, classes to 24 and classes counted once a
+    task do.
+    """
+    low = 40 - _PARTS
+
+    def look(batches):
+        import xxhash
+
+        claim("texts")
+        seen: set[int] = set()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                grams, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+                for t in values(batch.slice(lo, 2000).column(0)):
+                    s = ngram_set(t, n)
+                    own = xxhash.xxh3_64_intdigest(s.tobytes())
+                    if len(s) and own not in seen:
+                        seen.add(own)
+                        grams.append(heads(s) >> np.uint64(24))
+                        keys.append(np.full(len(grams[-1]), own & 0xFFFFFF, np.uint32))
+                if len(seen) > _SEEN:
+                    seen.clear()
+                v, k = np.concatenate(grams).astype(np.int64), np.concatenate(keys)
+                order = np.argsort(v)
+                v, k = v[order], k[order]
+                parts = np.unique(v >> low)
+                ends = np.searchsorted(v >> low, parts, "right").tolist()
+                # sorted numbers as steps, and their bytes by place: they compress
+                steps = [np.diff(v[a:b] & ((1 << low) - 1), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip([0, *ends], ends)]
+                names = [k[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(steps, pa.binary()), pa.array(names, pa.binary())], names=["part", "steps", "names"])
+
+    def plain(raw: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+    def count(batches):
+        at, grams, keys = None, [], []
+
+        def lists():
+            v, k = np.concatenate(grams), np.concatenate(keys)
+            order = np.argsort(v)
+            v, k = v[order], k[order]
+            first = np.flatnonzero(np.diff(v, prepend=-1))
+            size = np.diff(np.append(first, len(v)))
+            many = size > short
+            place = ((at << low) + v[first[many]]) >> (40 - _CROWDED)
+            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.minimum.reduceat(k, first)[many], pa.int32()), pa.array(np.maximum.reduceat(k, first)[many], pa.int32())], names=["at", "least", "most"])
+
+        for batch in batches:
+            for part, steps, names in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if part != at:
+                    if grams:
+                        yield lists()
+                    at, grams, keys = part, [], []
+                grams.append(np.cumsum(plain(steps).astype(np.int64)))
+                keys.append(plain(names))
+        if grams:
+            yield lists()
+
+    found = texts.mapInArrow(look, "part int, steps binary, names binary").repartition("part").sortWithinPartitions("part").mapInArrow(count, "at long, least int, most int")
+    found = write_table(found, "lists")
+    copies = found.groupBy("least", "most").agg(F.count("*").alias("lists")).filter(F.col("lists") >= _ALIKE).select("least", "most")
+    out = bitmap(found.join(copies, ["least", "most"], "left_anti").select("at"), _CROWDED)
+    drop_table(found)
+    return out
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, bits: int = 22, most: int = 6, short: int = 16, hot_gram: int = 1 << 12, block_rows: int = 128, block_most: int = 1024, block_grams: int = 1 << 19) -> DataFrame:
@@ -108,23 +192,40 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     surveyed = survey(rows, n, bits, docs.schema[doc_id].dataType.simpleString())
     members = surveyed.filter("chunk is null").select("doc_id", "rid", "n", "cls")
     classes = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("rid").alias("rid"), F.first("n").alias("n"))
-    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a class has its number once written
-    texts = rows.select("rid", "text").join(classes.select("rid", "node"), "rid").select("node", "text")  # one row of each class, or equal ones
+    # a class has its number once written; by their keys, which two may share, classes are only brought together
+    classes = write_table(classes.withColumns({"node": F.monotonically_increasing_id(), "key": F.conv(F.substring("cls", 1, 15), 16, 10).cast("long")}), "classes")
 
     freq = frequencies(surveyed, bits)
     load = float(freq.sum()) / (1 << bits)
     sent = spark.sparkContext.broadcast(freq)
 
+    def pool(s: np.ndarray) -> np.ndarray:
+        kept, _ = prefix(s, sent.value, bits, num, den, most, load, spare=0.25)
+        return kept[sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)] > 1]
+
+    late = spark.sparkContext.broadcast(crowded(rows.select("text"), n, pool, short))
+
     def head_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The prefix of a set, without what no other has, its n-grams' counts, and its L."""
-        kept, level = prefix(s, sent.value, bits, num, den, most, load)
+        kept, level = prefix(s, sent.value, bits, num, den, most, load, late=is_set(late.value, (s >> np.uint64(64 - _CROWDED)).astype(np.int64)))
         held = sent.value[(kept >> np.uint64(64 - bits)).astype(np.int64)]
         return kept[held > 1], held[held > 1].astype(np.int64), level
 
+    seen: set[int] = set()  # by each task
+
     def index(b: dict) -> dict:
-        out: dict[str, list] = {"gram": [], "salt": [], "cls": [], "n": [], "matches": []}
-        for node, t in zip(b["node"], b["text"]):
+        """Postings of each class, once a task: copies in other tasks repeat them, and are dropped along the lists."""
+        import xxhash
+
+        out: dict[str, list] = {"gram": [np.zeros(0, np.int64)], "salt": [np.zeros(0, np.int64)], "cls": [np.zeros(0, np.int64)], "n": [np.zeros(0, np.int32)], "matches": [np.zeros(0, np.int16)]}
+        for t in b["text"]:
             s = ngram_set(t, n)
+            node = int(xxhash.xxh3_128_hexdigest(s.tobytes())[:15], 16)
+            if not len(s) or node in seen:
+                continue
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.add(node)
             kept, held, level = head_of(s)
             out["gram"].append(kept.view(np.int64))
             out["salt"].append(np.where(held > hot_gram + 4 * load, (node * 0x9E3779B1 & 0x7FFFFFFF) % (1 + held // (hot_gram // 2)), -1))
@@ -133,14 +234,14 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
             out["matches"].append(np.full(len(kept), level, np.int16))
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    postings = map_batches(texts, index, "gram long, salt long, cls long, n int, matches short")
+    postings = map_batches(rows.select("text"), index, "gram long, salt long, cls long, n int, matches short")
 
     def candidates(batches):
         """Along each list in order of size: all pairs of a short one (with L), or stars (with 0) along a long one,
         whose pairs are held to L when they are verified.
 
         A list dealt to several tasks becomes a star around a node that stands for the n-gram, whatever the sizes.
-        Classes have numbers from 0, such nodes negative ones.
+        Classes have keys from 0, such nodes negative ones.
         """
         a: list[int] = []
         b: list[int] = []
@@ -208,42 +309,42 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     edges = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
     groups = components(edges)
 
-    known = classes.select("node", "n", "rid", "size")
-    info = groups.join(known, "node")
+    info = groups.withColumnRenamed("node", "key").join(classes.select("key", "node", "n", "rid", "size"), "key")
     sizes = info.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     sizes = write_table(sizes.select("label", F.greatest(F.ceil(F.col("rows") / F.least(F.lit(block_most), F.greatest(F.lit(block_rows), F.col("rows") / 12))), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks")), "blocks")
-    placed = info.join(sizes, "label").select("rid", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "size")
-
-    def gather(b: dict) -> dict:
-        sets = [ngram_set(t, n) for t in b["text"]]
-        heads = [head_of(s) for s in sets]
-        return {c: b[c] for c in ("node", "label", "blocks", "block", "size")} | {"level": [h[2] for h in heads], "head": [h[0].tobytes() for h in heads], "grams": [s.tobytes() for s in sets]}
+    placed = write_table(info.join(sizes, "label").select("rid", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "size"), "placed")
 
-    wanted = rows.select("rid", "text").join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
-    sets = write_table(map_batches(wanted, gather, "node long, label long, blocks int, block int, size long, level int, head binary, grams binary"), "sets")
-    dealt = sets.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "node", "size", "level", "head", "grams")
-    dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "level", "head", "grams").repartitionByRange("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    # only texts of classes that others were found for are moved
+    may = sieve(placed.select("rid"))
+    wanted = rows.select("rid", "text").filter(may("rid")).join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
+    wanted = write_table(wanted, "sets")
+    dealt = wanted.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "node", "size", "text")
+    dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "text").repartitionByRange("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
 
     def verify(batches):
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            for *row, t in zip(*(values(batch.column(i)) for i in range(7))):
+                row = tuple(row)
                 if row[:3] != at:
                     if len(held) > 1:
                         yield from _verified(held, num, den)
                     at, held = row[:3], []
                 if not held or held[-1][4] != row[4]:  # equal rows count once
-                    held.append(row)
+                    s = ngram_set(t, n)
+                    head, _, level = head_of(s)
+                    held.append((*row, level, head.tobytes(), s.tobytes()))
         if len(held) > 1:
             yield from _verified(held, num, den)
 
     forest = write_table(dealt.mapInArrow(verify, "a long, b long, links long"), "forest")
     sent.destroy()
+    late.destroy()
     del freq
     trim()
     final = components(forest.select("a", "b"))
-    for t in (groups, sizes, sets):
+    for t in (groups, sizes, placed, wanted):
         drop_table(t)
     ends = classes.join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("cls", "node", "least", "size", F.coalesce("label", "node").alias("label"))
     least = ends.groupBy("label").agg(F.min("least").alias("component_id"))
