@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parqyard.llm import mixing, ngram_join, pieces, substring_dedup, toxicity
-from parqyard.llm.common import identity, scratch_root, table
+from parqyard.llm.common import drop_table, identity, scratch_root, sieve, table, write_table
 from parqyard.llm.queries import TARGETS, TOPIC
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,14 +44,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Just one row stays of each group, also where ids are null (they come last) or repeated. Of rows with the same id and
     text, the one whose other columns come first stays, also where the text has no words and so links with nothing.
+    Only rows of groups of more than one are moved; the others stay as they lie.
     """
     rows, names = _apart(docs)
     linked = ngram_join.link(rows, n=5, num=4, den=5)
-    group = F.coalesce(F.col("label").cast("string"), "rid")
-    first = linked.groupBy(group.alias("group")).agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
+    grouped = write_table(linked.select("doc_id", "rid", F.coalesce(F.col("label").cast("string"), "rid").alias("group")), "grouped")
+    for t in linked.scratch:
+        drop_table(t)
+    first = grouped.groupBy("group").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"), F.count("*").alias("size"))
+    first = write_table(first, "first")
+    several = grouped.join(first.filter("size > 1").select("group"), "group").select("rid")
+    may = sieve(several)
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    own = rows.withColumn("rid", identity("doc_id", "text")).groupBy("rid").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*others))).alias("row"))
-    return _back(own.join(first.select("rid"), "rid", "left_semi").select("row.*"), names)
+    named = rows.withColumn("rid", identity("doc_id", "text"))
+    own = named.filter(may("rid")).groupBy("rid").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*others))).alias("row"))
+    kept = own.join(first.select("rid"), "rid", "left_semi").select("row.*")
+    return _back(kept.unionByName(named.filter(~may("rid")).select(*rows.columns)), names)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def is_set(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sieve(keys: DataFrame, bits: int = 25) -> Callable[[str], Column]:
-    """A filter that keeps every row whose key the string column of keys has, and few others, so that a join need not
+    """A filter that keeps every row whose key the only column of keys has, and few others, so that a join need not
     move the rest. It is of fixed size: with far more keys than 2**bits / 10 it lets more through, and loses nothing."""
     from pyspark.sql.functions import pandas_udf
 

@@ -319,7 +319,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     wanted = rows.select("rid", "text").filter(may("rid")).join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
     wanted = write_table(wanted, "sets")
     dealt = wanted.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "node", "size", "text")
-    dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "text").repartitionByRange("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
 
     def verify(batches):
         held: list[tuple] = []

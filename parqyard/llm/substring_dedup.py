@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, ascii_words, drop_table, identity, map_batches, mix, rest, scratch_root, word_hashes, write_table
+from .common import POWERS, ascii_words, drop_table, identity, map_batches, mix, rest, scratch_root, sieve, word_hashes, write_table
 
 _PART = 62  # windows in one row: their marks fit in a long
 
@@ -217,7 +217,8 @@ class FingerprintIndex:
         texts = batch.select("rid", "ord", "text")
         if history is not None:
             texts = texts.unionByName(history.select("rid", "ord", "text"))
-        texts = texts.join(wanted, "rid")
+        may = sieve(wanted.select("rid"))  # the texts of other rows need not be moved
+        texts = texts.filter(may("rid")).join(wanted, "rid")
 
         def windows(b: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("anchor", "rid", "ord", "new", "hot", "first", "hashes")}
@@ -320,7 +321,9 @@ def remove(batch: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
     keep_columns = [c for c in batch.columns if c not in ("n_words", "n_removed", "kept_text")]
     schema = "".join(f"`{c}` {batch.schema[c].dataType.simpleString()}, " for c in keep_columns)
-    joined = batch.select(*keep_columns).join(spans, "rid", "left")
+    rows, may = batch.select(*keep_columns), sieve(spans.select("rid"))
+    joined = rows.filter(may("rid")).join(spans, "rid", "left").select(*keep_columns, "spans")
+    joined = joined.unionByName(rows.filter(~may("rid")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))  # stays where it lies
     return map_batches(joined.select(*keep_columns, "spans"), cut, f"{schema}n_words long, n_removed long, kept_text string")
 
 
