@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parqyard.llm import mixing, ngram_join, pieces, substring_dedup, toxicity
-from parqyard.llm.common import drop_table, identity, scratch_root, sieve, table, write_table
+from parqyard.llm.common import drop_table, identity, scratch_root, sieve, sifted, table, write_table
 from parqyard.llm.queries import TARGETS, TOPIC
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,9 +57,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     may = sieve(several)
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
     named = rows.withColumn("rid", identity("doc_id", "text"))
-    own = named.filter(may("rid")).groupBy("rid").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*others))).alias("row"))
+    own = sifted(named, "rid", may).groupBy("rid").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*others))).alias("row"))
     kept = own.join(first.select("rid"), "rid", "left_semi").select("row.*")
-    return _back(kept.unionByName(named.filter(~may("rid")).select(*rows.columns)), names)
+    return _back(kept.unionByName(sifted(named, "rid", may, keep=False).select(*rows.columns)), names)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,27 +108,30 @@ def is_set(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def sieve(keys: DataFrame, bits: int = 25) -> Callable[[str], Column]:
-    """A filter that keeps every row whose key the only column of keys has, and few others, so that a join need not
-    move the rest. It is of fixed size: with far more keys than 2**bits / 10 it lets more through, and loses nothing."""
-    from pyspark.sql.functions import pandas_udf
-
-    def places(h):
-        return h >> (64 - bits) & ((1 << bits) - 1), h & ((1 << bits) - 1)
-
+def sieve(keys: DataFrame, bits: int = 25) -> Callable[[np.ndarray], np.ndarray]:
+    """Says of xxhash64() of keys which may be in the only column of keys: all that are, and few others. It is of fixed
+    size: with far more keys than 2**bits / 10 it lets more through, and loses nothing."""
     h = F.xxhash64(keys.columns[0])
     mask = (1 << bits) - 1
     both = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(mask))).alias("at")
     sent = keys.sparkSession.sparkContext.broadcast(bitmap(keys.select(both), bits))
 
-    @pandas_udf("boolean")
-    def may(h):
-        import pandas as pd
+    def passes(h: np.ndarray) -> np.ndarray:
+        return is_set(sent.value, h >> (64 - bits) & mask) & is_set(sent.value, h & mask)
+
+    return passes
+
 
-        a, b = places(h.to_numpy())
-        return pd.Series(is_set(sent.value, a) & is_set(sent.value, b))
+def sifted(df: DataFrame, key: str, passes: Callable[[np.ndarray], np.ndarray], keep: bool = True) -> DataFrame:
+    """The rows of df whose key passes a sieve, or the others, so that a join need not move them all."""
 
-    return lambda key: may(F.xxhash64(key))
+    def run(batches):
+        for batch in batches:
+            ok = passes(batch.column(batch.num_columns - 1).to_numpy())
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(ok if keep else ~ok))
+
+    small_batches(df.sparkSession)
+    return df.select("*", F.xxhash64(key).alias("sieve_hash")).mapInArrow(run, df.schema)
 
 
 def rest(df: DataFrame, *names: str) -> list[str]:

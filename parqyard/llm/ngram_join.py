@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, claim, drop_table, identity, is_set, map_batches, shingles, sieve, small_batches, trim, values, word_hashes, write_table
+from .common import bitmap, claim, drop_table, identity, is_set, map_batches, shingles, sieve, sifted, small_batches, trim, values, word_hashes, write_table
 from .components import components
 
 _CHUNK = 14  # the frequency table travels in pieces of 2**14 counts
@@ -316,7 +316,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
     # only texts of classes that others were found for are moved
     may = sieve(placed.select("rid"))
-    wanted = rows.select("rid", "text").filter(may("rid")).join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
+    wanted = sifted(rows.select("rid", "text"), "rid", may).join(placed, "rid").select("text", "node", "label", "blocks", "block", "size")
     wanted = write_table(wanted, "sets")
     dealt = wanted.select("label", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("p"), "block", "node", "size", "text")
     dealt = dealt.select("label", "p.i", "p.j", "block", "node", "size", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")

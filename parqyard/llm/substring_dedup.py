@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, ascii_words, drop_table, identity, map_batches, mix, rest, scratch_root, sieve, word_hashes, write_table
+from .common import POWERS, ascii_words, drop_table, identity, map_batches, mix, rest, scratch_root, sieve, sifted, word_hashes, write_table
 
 _PART = 62  # windows in one row: their marks fit in a long
 
@@ -218,7 +218,7 @@ class FingerprintIndex:
         if history is not None:
             texts = texts.unionByName(history.select("rid", "ord", "text"))
         may = sieve(wanted.select("rid"))  # the texts of other rows need not be moved
-        texts = texts.filter(may("rid")).join(wanted, "rid")
+        texts = sifted(texts, "rid", may).join(wanted, "rid")
 
         def windows(b: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("anchor", "rid", "ord", "new", "hot", "first", "hashes")}
@@ -322,9 +322,15 @@ def remove(batch: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     keep_columns = [c for c in batch.columns if c not in ("n_words", "n_removed", "kept_text")]
     schema = "".join(f"`{c}` {batch.schema[c].dataType.simpleString()}, " for c in keep_columns)
     rows, may = batch.select(*keep_columns), sieve(spans.select("rid"))
-    joined = rows.filter(may("rid")).join(spans, "rid", "left").select(*keep_columns, "spans")
-    joined = joined.unionByName(rows.filter(~may("rid")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))  # stays where it lies
-    return map_batches(joined.select(*keep_columns, "spans"), cut, f"{schema}n_words long, n_removed long, kept_text string")
+    found = sifted(rows, "rid", may).join(spans, "rid", "left").select(*keep_columns, "spans")
+
+    def whole(b: dict) -> dict:
+        """Of rows that stay where they lie."""
+        mine = np.flatnonzero(~may(np.array(b["sieve_hash"], np.int64))).tolist()
+        return cut({c: [b[c][i] for i in mine] for c in keep_columns} | {"spans": [None] * len(mine)})
+
+    schema = f"{schema}n_words long, n_removed long, kept_text string"
+    return map_batches(found, cut, schema).unionByName(map_batches(rows.select("*", F.xxhash64("rid").alias("sieve_hash")), whole, schema))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 3, window: int = 50, gram: int = 16, fanout: int = 2, hot: int = 1000) -> DataFrame:

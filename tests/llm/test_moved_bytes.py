@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from parqyard.llm.common import bitmap, is_set, sieve
+from parqyard.llm.common import bitmap, is_set, sieve, sifted
 
 
 def shuffled(spark):
@@ -31,7 +31,7 @@ def test_lone_texts_stay(spark, tmp_path):
 def test_sieve_loses_nothing(spark):
     keys = spark.range(0, 3000, 3).selectExpr("cast(id as string) as k")
     may = sieve(keys, bits=18)
-    got = {int(r["k"]) for r in spark.range(3000).selectExpr("cast(id as string) as k").filter(may("k")).collect()}
+    got = {int(r["k"]) for r in sifted(spark.range(3000).selectExpr("cast(id as string) as k"), "k", may).collect()}
     assert set(range(0, 3000, 3)) <= got and len(got) < 1100
     flags = bitmap(spark.createDataFrame([(0,), (9,), (9,), ((1 << 18) - 1,)], "at long"), 18)
     assert np.flatnonzero(is_set(flags, np.arange(1 << 18))).tolist() == [0, 9, (1 << 18) - 1]
