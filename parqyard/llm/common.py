@@ -80,7 +80,10 @@ _PIECE = 17  # a bitmap travels in pieces of 2**17 bits
 
 
 def bitmap(places: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, eight in a byte, with those set whose numbers the long column of places has: as large whatever the data."""
+    """2**bits bits, eight in a byte, with those set whose numbers the long column of places has: as large whatever the data.
+
+    One job fetches all pieces, each at most twice: a job for each partition in turn takes as long as there are partitions.
+    """
 
     def pack(batches):
         held: dict[int, np.ndarray] = {}
@@ -97,7 +100,7 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
     at = places.columns[0]
     dealt = places.repartition(F.shiftright(at, _PIECE)).sortWithinPartitions(at)
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in dealt.mapInArrow(pack, "piece int, flags binary").toLocalIterator():
+    for r in dealt.mapInArrow(pack, "piece int, flags binary").collect():
         lo = r["piece"] << (_PIECE - 3)
         out[lo : lo + (1 << (_PIECE - 3))] |= np.frombuffer(r["flags"], np.uint8)
     return out

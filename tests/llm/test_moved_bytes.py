@@ -35,3 +35,21 @@ def test_sieve_loses_nothing(spark):
     assert set(range(0, 3000, 3)) <= got and len(got) < 1100
     flags = bitmap(spark.createDataFrame([(0,), (9,), (9,), ((1 << 18) - 1,)], "at long"), 18)
     assert np.flatnonzero(is_set(flags, np.arange(1 << 18))).tolist() == [0, 9, (1 << 18) - 1]
+
+
+def test_bitmap_in_few_jobs(spark):
+    """As many jobs whatever the number of partitions, which on a small table decided how long a sieve took."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("bitmap", "")
+    try:
+        places = [i * 7919 % (1 << 23) for i in range(20000)]
+        flags = bitmap(spark.createDataFrame([(p,) for p in places], "at long"), 23)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert np.flatnonzero(is_set(flags, np.arange(1 << 23))).tolist() == sorted(set(places))
+    assert 1 <= len(jobs) <= 4, len(jobs)
