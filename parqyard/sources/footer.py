@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import Leaf
@@ -22,6 +23,8 @@ SCHEMAS = {
     "first_page_offset long, data_page_offset long, dictionary_page_offset long, has_statistics boolean, null_count long, distinct_count long, min binary, max binary",
 }
 PER_TASK = 64
+#: Bytes of a page, as most writers have it.
+PAGE = 1 << 20
 
 
 class _Files(InputPartition):
@@ -187,15 +190,32 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FooterSource)
 
 
-def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], bool]:
-    """The schema's name and the leaves of one file, and whether it uses BYTE_STREAM_SPLIT; by Spark's own Parquet library."""
+def traits(spark: SparkSession, path: str, file: str | None = None) -> tuple[bool, bool]:
+    """Whether any column chunk of a table uses BYTE_STREAM_SPLIT, and whether its row groups are smaller than a page, on average.
+
+    Tasks look at the footers of all files, or the driver at that of `file`, if it is the only one.
+    """
+    if file is None:
+        chunks = footer(spark, path, "column_chunks")
+        split, size, groups = chunks.agg(F.max(F.array_contains("encodings", "BYTE_STREAM_SPLIT")), F.sum("total_compressed_size"), F.count_if(F.col("column") == 0)).first()
+        return bool(split), (size or 0) < PAGE * groups
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(pa.BufferReader(b"PAR1" + tail(spark, file)[1])).metadata
+    groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+    chunks = [(c.encodings, c.total_compressed_size) for g in groups for c in map(g.column, range(g.num_columns))]
+    return any("BYTE_STREAM_SPLIT" in e for e, _ in chunks), sum(n for _, n in chunks) < PAGE * len(groups)
+
+
+def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf]]:
+    """The schema's name and the leaves of one file, by Spark's own Parquet library."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
     try:
-        meta = reader.getFooter()
-        message = meta.getFileMetaData().getSchema()
+        message = reader.getFooter().getFileMetaData().getSchema()
         out = []
         for c in message.getColumns():
             kind = c.getPrimitiveType()
@@ -204,8 +224,6 @@ def leaves(spark: SparkSession, file: str) -> tuple[str, list[Leaf], bool]:
             unsigned = note is not None and note.toString().startswith("INTEGER(") and note.toString().endswith("false)")
             wide = unsigned and note.toString().startswith(("INTEGER(32", "INTEGER(64"))
             out.append(Leaf(tuple(c.getPath()), name, c.getMaxDefinitionLevel(), c.getMaxRepetitionLevel(), kind.getTypeLength(), wide))
-        numeric = any(x.kind in ("INT32", "INT64", "FLOAT", "DOUBLE", "FIXED_LEN_BYTE_ARRAY") for x in out)
-        split = numeric and any("BYTE_STREAM_SPLIT" in c.getEncodings().toString() for b in meta.getBlocks() for c in b.getColumns())
-        return message.getName(), out, split
+        return message.getName(), out
     finally:
         reader.close()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Schema, logical_of, physical
-from .footer import footer, leaves, list_files
+from .footer import footer, leaves, list_files, traits
 
 #: The marker at both ends of a file.
 MAGIC = b"PAR1"
@@ -19,25 +19,27 @@ def read(spark: SparkSession, path: str, view: str = "physical", order: bool = F
 
     The physical view shows stored values: timestamps, dates and decimals as the integers they are kept in, byte arrays
     as UTF-8 strings, structs as dotted columns. With `order`, `_file` and `_row` tell the place of each row. A table of which
-    any row group uses BYTE_STREAM_SPLIT is read in a session of its own without the vectorised reader, which lacks it.
+    any row group uses BYTE_STREAM_SPLIT is read in a session of its own without the vectorised reader, which lacks it. Where
+    row groups are smaller than a page, filters go by the groups' bounds alone, not by the page index: it could skip hardly more, and a look into it
+    for each group fills the read buffer anew, twice 64 KB for a group of any size.
     """
     if view not in ("physical", "logical"):
         raise ValueError(f"no view {view!r}")
     files = list_files(spark, path, most=2)
     if not files:
         raise FileNotFoundError(f"no data files at {path}")
-    name, found, split = leaves(spark, files[0])
-    if not split and len(files) > 1:  # any other file may have it
-        split = not footer(spark, path, "column_chunks").filter("array_contains(encodings, 'BYTE_STREAM_SPLIT')").isEmpty()
+    name, found = leaves(spark, files[0])
+    split, short = traits(spark, path, files[0] if len(files) == 1 else None)
     if split:
         spark = spark.newSession()
         spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
-    inferred = spark.read.parquet(path)
+    how = {"parquet.filter.columnindex.enabled": "false"} if short else {}
+    inferred = spark.read.options(**how).parquet(path)
     place = [F.col("_metadata.file_path").alias(ORDER[0]), F.col("_metadata.row_index").alias(ORDER[1])] if order else []
     if view == "logical":
         return inferred.select("*", *place) if order else inferred, logical_of(inferred.schema)
     shape, columns, schema = physical(inferred.schema, found, name)
-    return spark.read.schema(shape).parquet(path).select(*columns, *place), schema
+    return spark.read.options(**how).schema(shape).parquet(path).select(*columns, *place), schema
 
 
 def row_groups(spark: SparkSession, path: str, view: str = "physical") -> DataFrame:
